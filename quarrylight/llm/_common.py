@@ -97,8 +97,18 @@ def shape_of(docs: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["b"])
 
 
-def bucket_count(spark: SparkSession, n_bytes: int, per_bucket: int = BUCKET_BYTES) -> int:
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // per_bucket))
+def bucket_bytes(n_bytes: int) -> int:
+    """Text for one bucket: more for very large tables, as every bucket writes to every shard of requests."""
+    return int(BUCKET_BYTES * min(8.0, max(1.0, (n_bytes / 40e9) ** 0.5)))
+
+
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes(n_bytes)))
+
+
+def shard_count(n_bytes: int) -> int:
+    """Shards of requests: by the text alone, so that finer buckets don't multiply the pieces."""
+    return max(1, -(-n_bytes // (3 * bucket_bytes(n_bytes))))
 
 
 def _ids_and_texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes | None]]:

@@ -176,7 +176,7 @@ def substring_dedup(docs: DataFrame, window: int = 13) -> DataFrame:
     _, n_bytes = C.shape_of(docs)
     buckets = C.bucket_count(docs.sparkSession, n_bytes)
     bits = int(np.clip(np.ceil(np.log2(max(1, n_bytes // 2))), 16, 48))  # 3 to 6 counters a window, as words take about 6 bytes
-    parts = max(1, buckets // 3)
+    parts = C.shard_count(n_bytes)
     packed = C.pack_docs(docs, buckets)
     asked = packed.groupBy("bucket").applyInArrow(_ask(window, bits, parts), "row long, part long, bucket long, counters binary")
     reply = "bucket long, stage long, row long, part long, flags binary"
