@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import decontaminate
+from .simhash import simhash_components
 from .substring_dedup import substring_dedup
+from .token_output import read_token_files, token_files_folder, write_token_files
+
+#: A vocabulary file of the installed public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,5 +33,38 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
-ORACLE = {"op1_substring_dedup": _OP1}
+
+def op2_token_output(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = token_files_folder(spark)
+    write_token_files(table(spark, d, "documents"), folder, public_tokenizers.path(TOKENIZER))
+    return read_token_files(spark, folder, with_ids=False)
+
+
+def op5_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    found = decontaminate(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_OP5 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bwin AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM bw WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM bwin),
+dwin AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM dw, sizes WHERE len(ws) >= n)),
+hit AS (SELECT doc_id, i, dwin.n, item_id FROM dwin JOIN bwin ON dwin.n = bwin.n AND dwin.k = bwin.k),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS s FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
+    found = simhash_components(table(spark, d, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash}
+ORACLE = {"op1_substring_dedup": _OP1, "op5_decontaminate": _OP5}
