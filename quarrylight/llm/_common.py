@@ -108,7 +108,7 @@ def bucket_count(spark: SparkSession, n_bytes: int) -> int:
 
 def shard_count(n_bytes: int) -> int:
     """Shards of requests: by the text alone, so that finer buckets don't multiply the pieces."""
-    return max(1, -(-n_bytes // (3 * bucket_bytes(n_bytes))))
+    return max(1, -(-n_bytes // bucket_bytes(n_bytes)))
 
 
 def _ids_and_texts(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes | None]]:
