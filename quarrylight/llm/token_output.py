@@ -27,16 +27,21 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
 
+#: Stands before the first word of a line while a text is cut into words.
+FIRST = "\x01"
 #: Ids after which a chunk ends.
 CHUNK_IDS = 1 << 20
 #: Pieces of text that a worker remembers the ids of; then it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 900_000
+#: Bytes of text that are encoded together.
+TOGETHER = 8 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 _CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"
@@ -105,11 +110,13 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         pre = self.tokenizer.pre_tokenizer
-        self.by_word = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s\s", *special])).search
-        self.ids: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line = self.raw(["\n"])[0]
+        self.by_word = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex and len(self.line) == self.dtype().itemsize
+        self.blank = re.compile(r"\s").search
+        #: Ids of words; a word at the start of a line stands with FIRST before it.
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -120,29 +127,54 @@ class _Encoder:
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian bytes."""
-        if not self.by_word:
-            return self.raw(texts)
-        pieces: list[list[str] | None] = []
-        for text in texts:
-            if self.whole(text):
-                pieces.append(None)
-                continue
-            found: list[str] = []
-            for k, line in enumerate(text.split("\n")):
-                words = line.split(" ")
-                found += ["\n", words[0]] if k else words[:1]
-                found += [" " + w for w in words[1:]]
-            pieces.append(found)
-        if len(self.ids) > CACHE_PIECES:
-            self.ids = {}
-        ids = self.ids
-        new = list({p for found in pieces if found for p in found} - ids.keys())
-        for at in range(0, len(new), 4096):
-            ids.update(zip(new[at : at + 4096], self.raw(new[at : at + 4096])))
-        whole = iter(self.raw([t for t, found in zip(texts, pieces) if found is None]))
-        return [next(whole) if found is None else b"".join([ids[p] for p in found]) for found in pieces]
+    def learn(self, words: list[str]) -> None:
+        """Ids of new words, which hold no white space.
+
+        A final full stop or comma after a letter or digit is a token run of its
+        own, so such a word is its stem and that mark.  Stems are encoded as the
+        ready pieces of one input, which keeps the piece of every id.
+        """
+        known = self.known
+        ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()]
+        stems = [w for w in {*words}.difference(ended).union(w[:-1] for w in ended) if w not in known]
+        k = self.dtype().itemsize
+        for at in range(0, len(stems), 4096):
+            part = stems[at : at + 4096]
+            found = self.tokenizer.encode([w[1:] if w[0] == FIRST else " " + w for w in part], is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, self.dtype).tobytes()
+            ends = (k * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
+            known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        marks = dict(zip(".,", self.raw([".", ","])))
+        for w in ended:
+            known[w] = known[w[:-1]] + marks[w[-1]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        whole = np.array([not t or FIRST in t or any(x in t for x in self.special) for t in texts]) if self.by_word else np.ones(len(texts), bool)
+        marked = pa.array(["" if skip else FIRST + t for t, skip in zip(texts, whole)], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", f" \n {FIRST}"), " ")
+        words = lists.flatten().dictionary_encode()
+        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        ends = lists.offsets.to_numpy()
+        odd = np.array([w != "\n" and (not w.removeprefix(FIRST) or w.isspace()) for w in distinct])
+        if self.blank("".join(distinct)):
+            odd |= np.array([w != "\n" and self.blank(w) is not None for w in distinct])
+        if len(self.known) > CACHE_PIECES:
+            self.known = {w: ids for w, ids in self.known.items() if len(w) <= 6}  # short words are the frequent ones
+            self.known = {} if len(self.known) > CACHE_PIECES // 2 else self.known
+        known = self.known
+        self.learn([w for w, o in zip(distinct, odd) if not o and w != "\n" and w not in known])
+        parts = [b"" if o else self.line if w == "\n" else known[w] for w, o in zip(distinct, odd)]
+        pool, sizes = np.frombuffer(b"".join(parts), self.dtype), np.array([len(p) for p in parts], np.int64) // self.dtype().itemsize
+        begins = np.cumsum(sizes) - sizes
+        size = sizes[index]
+        at = np.cumsum(size)
+        ids = pool[np.repeat(begins[index] - (at - size), size) + np.arange(int(at[-1]) if len(at) else 0)]
+        cuts = np.r_[0, at][ends]
+        together = np.r_[0, np.cumsum(odd[index])][ends]
+        whole |= np.diff(together) > 0
+        rest = iter(self.raw([t for t, w in zip(texts, whole) if w]))
+        return [np.frombuffer(next(rest), self.dtype) if w else ids[a:b] for w, a, b in zip(whole, cuts.tolist(), cuts[1:].tolist())]
 
 
 def _squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,31 +195,36 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder.of(tokenizer_path)
-        end = np.array([end_id], encoder.dtype).tobytes()
+        end = np.array([end_id], encoder.dtype)
         shard, seq, base = TaskContext.get().partitionId(), 0, 0
         ids: list[int] = []
-        parts: list[bytes] = []
+        parts: list[np.ndarray] = []
         size = 0
 
         def chunk() -> pa.RecordBatch:
             width = encoder.dtype().itemsize
-            ends = np.cumsum([len(p) // width for p in parts])
+            ends = np.cumsum([len(p) for p in parts])
             ef = EliasFano.build(ends)
-            row = (shard, seq, base, len(ids), int(ends[-1]), width, b"".join(parts), C.encode_sorted(np.array(ids, np.int64).astype(np.uint64)), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
+            row = (shard, seq, base, len(ids), int(ends[-1]), width, np.concatenate(parts).tobytes(), C.encode_sorted(np.array(ids, np.int64).astype(np.uint64)), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [x.split()[0] for x in _CHUNK.split(", ")])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for i, found in zip(part.column(0).to_pylist(), encoder.encode([C.decompress(z).decode() for z in part.column(1).to_pylist()])):
+            begin, held, n = 0, [], 0
+            for k, squeezed in enumerate(batch.column(1).to_pylist(), 1):
+                held.append(C.decompress(squeezed).decode())
+                n += len(held[-1])
+                if k < batch.num_rows and n < TOGETHER:
+                    continue
+                for i, found in zip(batch.column(0).slice(begin, len(held)).to_pylist(), encoder.encode(held)):
                     ids.append(i)
-                    parts.append(found + end)
-                    size += len(parts[-1]) // len(end)
+                    parts.append(np.r_[found, end])
+                    size += len(parts[-1])
                     if size >= CHUNK_IDS:
                         yield chunk()
                         seq, base, size = seq + 1, base + size, 0
                         ids, parts = [], []
+                begin, held, n = k, [], 0
         if ids:
             yield chunk()
 
