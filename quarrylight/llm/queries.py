@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import decontaminate
+from .mixing import mixture
 from .simhash import simhash_components
+from . import toxicity
 from .substring_dedup import substring_dedup
 from .token_output import read_token_files, token_files_folder, write_token_files
 
@@ -66,5 +68,15 @@ def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash}
+def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    found = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+    return found.select("row.doc_id", "score", "predicted").withColumn("held_out", toxicity.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLE = {"op1_substring_dedup": _OP1, "op5_decontaminate": _OP5}

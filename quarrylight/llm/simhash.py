@@ -24,7 +24,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -34,6 +34,10 @@ _ONES = np.uint64(0x5555555555555555)
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+def row_key() -> F.Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     words = (text or b"").lower().split()
     if not words:
@@ -74,7 +78,7 @@ def cells(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "key", "fp"])
 
 
 def _deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +153,14 @@ def _link(most: int):
 
 
 def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """doc_id, fp (long) and component_id for each row; documents link at `distance` (at most 2) or fewer differing bits."""
+    """doc_id, key, fp (long) and component_id for each row; documents link at `distance` (at most 2) or fewer differing bits.
+
+    key is a hash of doc_id and text: it tells rows with one doc_id apart.
+    """
     if not 0 <= distance <= 2:
         raise ValueError("the grid of radius 1 finds distances up to 2")
     spark = docs.sparkSession
-    prints = C.checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long"))
+    prints = C.checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("key")).mapInArrow(_fingerprints, "doc_id long, key long, fp long"))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.select("fp").mapInArrow(_deal, "cell long, fp long").repartition(n, "cell").sortWithinPartitions("cell")
@@ -162,4 +169,14 @@ def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
     firsts = distinct.join(labels, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     low = firsts.groupBy("label").agg(F.min("first_id").alias("component_id"))
     classes = firsts.join(low, "label").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "key", "fp", "component_id")
+
+
+def first_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays."""
+    found = simhash_components(docs, distance)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    stay = found.groupBy("component_id").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_k"))
+    keyed = docs.withColumn("_key", row_key()).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    once = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(1)))).where("_nth = 1")
+    return once.select(*[F.col(f"`{c}`") for c in docs.columns])
