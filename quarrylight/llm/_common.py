@@ -41,12 +41,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_compressors = {level: zstandard.ZstdCompressor(level=level) for level in (1, 3)}
+_decompressor = zstandard.ZstdDecompressor()
+
+
 def compress(raw: bytes, level: int = 1) -> bytes:
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+    return _compressors[level].compress(raw)
 
 
 def decompress(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob) if blob else b""
+    return _decompressor.decompress(blob) if blob else b""
 
 
 def encode_planes(values: np.ndarray) -> bytes:

@@ -39,9 +39,9 @@ FIRST = "\x01"
 #: Ids after which a chunk ends.
 CHUNK_IDS = 1 << 20
 #: Pieces of text that a worker remembers the ids of; then it starts afresh.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 700_000
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 16 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 _CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"
@@ -92,6 +92,16 @@ class EliasFano:
         return ((places - np.arange(self.n)) << self.low_bits) + bits @ (1 << np.arange(self.low_bits, dtype=np.int64))
 
 
+def _shown() -> dict[int, str]:
+    """How byte-level tokenizers show each byte: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_SHOWN = _shown()
+
+
 class _Encoder:
     """The tokenizer, with remembered ids of words.
 
@@ -115,6 +125,7 @@ class _Encoder:
         self.line = self.raw(["\n"])[0]
         self.by_word = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex and len(self.line) == self.dtype().itemsize
         self.blank = re.compile(r"\s").search
+        self.model = self.tokenizer.model
         #: Ids of words; a word at the start of a line stands with FIRST before it.
         self.known: dict[str, bytes] = {}
 
@@ -138,9 +149,16 @@ class _Encoder:
         ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()]
         stems = [w for w in {*words}.difference(ended).union(w[:-1] for w in ended) if w not in known]
         k = self.dtype().itemsize
-        for at in range(0, len(stems), 4096):
-            part = stems[at : at + 4096]
-            found = self.tokenizer.encode([w[1:] if w[0] == FIRST else " " + w for w in part], is_pretokenized=True, add_special_tokens=False)
+        text_of = {w: w[1:] if w[0] == FIRST else " " + w for w in stems}
+        letters = [w for w, t in text_of.items() if t.strip(" ").isalpha()]  # one piece for the pattern: straight to the model
+        for w in letters:
+            t = text_of[w]
+            t = t.replace(" ", _SHOWN[32]) if t.isascii() else t.encode().decode("latin-1").translate(_SHOWN)
+            known[w] = np.array([x.id for x in self.model.tokenize(t)], self.dtype).tobytes()
+        rest = [w for w in stems if w not in known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            found = self.tokenizer.encode([text_of[w] for w in part], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, self.dtype).tobytes()
             ends = (k * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
             known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
@@ -163,8 +181,12 @@ class _Encoder:
             self.known = {w: ids for w, ids in self.known.items() if len(w) <= 6}  # short words are the frequent ones
             self.known = {} if len(self.known) > CACHE_PIECES // 2 else self.known
         known = self.known
-        self.learn([w for w, o in zip(distinct, odd) if not o and w != "\n" and w not in known])
-        parts = [b"" if o else self.line if w == "\n" else known[w] for w, o in zip(distinct, odd)]
+        known["\n"] = self.line
+        parts = list(map(known.get, distinct))
+        missing = [k for k, p in enumerate(parts) if p is None]
+        self.learn([distinct[k] for k in missing if not odd[k]])
+        for k in missing:
+            parts[k] = b"" if odd[k] else known[distinct[k]]
         pool, sizes = np.frombuffer(b"".join(parts), self.dtype), np.array([len(p) for p in parts], np.int64) // self.dtype().itemsize
         begins = np.cumsum(sizes) - sizes
         size = sizes[index]
@@ -177,10 +199,14 @@ class _Encoder:
         return [np.frombuffer(next(rest), self.dtype) if w else ids[a:b] for w, a, b in zip(whole, cuts.tolist(), cuts[1:].tolist())]
 
 
-def _squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).fill_null(C.NULL_ID)
-        yield pa.RecordBatch.from_arrays([ids, pa.array([C.compress(t or b"", 3) for t in batch.column(1).cast(pa.large_binary()).to_pylist()], pa.binary())], ["doc_id", "squeezed"])
+def _squeeze(bounds: np.ndarray):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(C.NULL_ID).to_numpy()
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, side="left"), pa.int32()), pa.array(ids), pa.array([C.compress(t or b"") for t in texts], pa.binary())], ["shard", "doc_id", "squeezed"])
+
+    return run
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
@@ -228,8 +254,14 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if ids:
             yield chunk()
 
-    squeezed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_squeeze, "doc_id long, squeezed binary")
-    ordered = squeezed.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "squeezed")
+    # Ranges of doc_id with about as many rows each; (shards - 1) numbers come to the driver.
+    bounds = np.array([], np.int64)
+    if shards > 1:
+        at = [k / shards for k in range(1, shards)]
+        found = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), at, max(10_000, 4 * shards))).first()[0]
+        bounds = np.unique(np.array(found or [], np.int64))
+    squeezed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_squeeze(bounds), "shard int, doc_id long, squeezed binary")
+    ordered = squeezed.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "squeezed").select("doc_id", "squeezed")
     ordered.mapInArrow(run, _CHUNK).write.parquet(f"{path}/chunks")
     spark = docs.sparkSession
     totals = spark.read.parquet(f"{path}/chunks").groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids")).orderBy("shard").collect()  # a row for each shard
