@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import format_windows, read_windows
+from .cover_tree import top_k
 from .decontaminate import decontaminate
 from .mixing import mixture
+from .pii import KINDS, find_pii
 from .simhash import simhash_components
 from . import toxicity
 from .substring_dedup import substring_dedup
@@ -68,6 +71,57 @@ def op7_simhash(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_pii(spark: SparkSession, d: str) -> DataFrame:
+    found = find_pii(table(spark, d, "documents"))
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["name"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["name"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("all")).alias("spans"))
+
+
+def op6_chat(spark: SparkSession, d: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
+    talks = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = read_windows(format_windows(talks))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(F.array_join("losses", "")).cast("long").alias("loss_chars"), F.sha2(F.array_join("losses", ""), 256).alias("loss_sha256"), "formatted_chars")
+
+
+#: The windows of `format_windows` (budget 512, history 128) in SQL, for the number of formatted characters.
+_OP6 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tok, row_number() OVER o AS nth,
+  length(text) + length(role) + 2 + len(regexp_extract_all(text || role, '[~<\[\]]')) + 7 AS chars
+  FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+p AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY nth) AS upto, nth = 1 AND role = 'system' AS sys FROM t),
+s AS (SELECT *, upto - tok AS before, coalesce(max(CASE WHEN sys THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok, coalesce(max(CASE WHEN sys THEN chars END) OVER (PARTITION BY conv_id), 0) AS sys_chars FROM p),
+r AS (SELECT *, greatest(1, 512 - 128 - sys_tok) AS room FROM s),
+w AS (SELECT *, CASE WHEN before // room = (upto - 1) // room THEN 2 * (before // room) ELSE 2 * (before // room) + 1 END AS slot,
+  coalesce(sum(CASE WHEN sys THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 128 PRECEDING AND 1 PRECEDING), 0) AS recent FROM r),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, slot ORDER BY nth) AS place, max(sys) OVER (PARTITION BY conv_id, slot) AS has_sys FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars + CASE WHEN place = 1 THEN recent + CASE WHEN has_sys THEN 0 ELSE sys_chars END ELSE 0 END) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+
+def op8_exact_top_k(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+_OP8 = r"""
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v AS q, v WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+
 def op9_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
@@ -78,5 +132,5 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixture(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
-ORACLE = {"op1_substring_dedup": _OP1, "op5_decontaminate": _OP5}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash, "op3_pii": op3_pii, "op6_chat": op6_chat, "op8_exact_top_k": op8_exact_top_k, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+ORACLE = {"op1_substring_dedup": _OP1, "op5_decontaminate": _OP5, "op6_chat": _OP6, "op8_exact_top_k": _OP8}
