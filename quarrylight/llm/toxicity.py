@@ -9,8 +9,9 @@ marks come from a logistic regression on labelled rows.
 
 The insult class has a seed word list and the stems that the training rows show:
 prefixes of words that stand nearly only in toxic texts (insult), or that come
-two times or more mostly in toxic texts (hint).  Only different texts count as
-evidence: near copies share a min-hash of their word shingles and count once.
+two times or more mostly in toxic texts (hint).  Near copies share a min-hash of
+their word shingles; only one of them trains, so that a text that was copied
+often isn't taken for many.
 Hints are counted by words, as one alone says little.
 
 Fitting uses a bounded sample of labelled rows (`max_rows`); scoring reads every
@@ -36,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _common as C
+
 _WORD = re.compile(r"[^\W\d_]+|[.!?;\n]")
 
 # Seed words of each class (English, German, French, Spanish).
@@ -191,17 +194,34 @@ def _prefix_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             once, twice = _prefixes(text)
             counts[0 if y > 0 else 1].update(once)
             counts[2 if y > 0 else 3].update(twice)
-    keys = list(set().union(*counts))
+    keys = list(counts[0])  # a prefix that no toxic text has marks nothing
+    keys += [k for k in {*counts[1], *counts[3]} if k not in counts[0]]
     for at in range(0, len(keys), 50_000):
         part = keys[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array([c[k] for k in part], pa.int64()) for c in counts)], ["stem", "t1", "c1", "t2", "c2"])
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in counts)], ["stem", "t1", "c1", "t2", "c2"])
 
 
-def _identity(text: str | None) -> list[int]:
-    """Three min-hashes of the text's shingles of three words: near copies mostly share each of them."""
-    words = (text or "").lower().split()
-    grams = {" ".join(words[k : k + 3]).encode() for k in range(max(1, len(words) - 2))}
-    return [min(xxhash.xxh64_intdigest(g, seed) for g in grams) >> 1 for seed in range(3)]
+def _identities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Three min-hashes of each text's shingles of three words: near copies mostly share each of them."""
+    for batch in batches:
+        out = []
+        for text in batch.column(0).to_pylist():
+            words = (text or "").lower().encode().split()
+            grams = {b" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))}
+            hashes = np.frombuffer(b"".join(xxhash.xxh3_64_digest(g) for g in grams), np.uint64)
+            with np.errstate(over="ignore"):
+                out.append([int((hashes * np.uint64(m)).min() >> np.uint64(1)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in out], pa.int64()) for k in range(3))], ["text", "y", "a", "b", "c"])
+
+
+def unlike(rows: DataFrame) -> DataFrame:
+    """Sampled rows (text, y) without near copies: of rows that share a min-hash, one with the highest label stays."""
+    known = C.checkpoint(rows.mapInArrow(_identities, "text string, y int, a long, b long, c long").withColumn("id", F.xxhash64("text")))
+    left = known.select("y", "id", "a", "b", "c")
+    for k in "abc":
+        left = left.groupBy(k).agg(F.max(F.struct("y", "id", *[x for x in "abc" if x != k])).alias("s")).select(k, "s.*")
+    stay = left.select(F.col("id").alias("i"), F.col("y").alias("z")).distinct()
+    return C.checkpoint(known.dropDuplicates(["id", "y"]).join(stay, (F.col("id") == F.col("i")) & (F.col("y") == F.col("z"))).select("text", "y"))
 
 
 def _evidence(toxic: float, clean: float, base: float) -> float:
@@ -226,27 +246,11 @@ def learn_stems(rows: DataFrame, most_stems: int = 20_000, evidence: float = 14.
     strong, hint = (F.col("t1") >= enough) & (F.col("c1") <= 0.02 * F.col("t1")), (F.col("t2") >= enough) & (F.col("c2") <= 0.35 * F.col("t2"))
     few = counts.where(strong | hint).orderBy(F.desc(F.col("t1") - F.col("c1") + F.col("t2") - F.col("c2")), "stem").limit(most_stems)
     found = {r["stem"]: (r["t1"], r["c1"], r["t2"], r["c2"]) for r in few.collect()}
-    if not found:
-        return {}
-
-    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if y > 0:
-                    once, twice = _prefixes(text)
-                    who = _identity(text)
-                    out += [(s, n, *who) for n, of in ((1, once), (2, twice)) for s in of & found.keys()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string() if not k else pa.int64()) for k in range(5)], ["stem", "n", "a", "b", "c"])
-
-    many = rows.mapInArrow(texts, "stem string, n long, a long, b long, c long").groupBy("stem", "n").agg(F.least(*(F.size(F.collect_set(k)) for k in "abc")).alias("texts"))
-    differ = {(r["stem"], r["n"]): r["texts"] for r in many.collect()}
     good: dict[str, tuple[str, int]] = {}
     for s, (t1, c1, t2, c2) in found.items():
-        d1, d2 = differ.get((s, 1), 0), differ.get((s, 2), 0)
-        if c1 <= 0.02 * d1 and _evidence(d1, c1, base) >= evidence:
+        if c1 <= 0.02 * t1 and _evidence(t1, c1, base) >= evidence:
             good[s] = ("i", t1)
-        elif c2 <= 0.35 * d2 and _evidence(d2, c2, base) >= evidence:
+        elif c2 <= 0.35 * t2 and _evidence(t2, c2, base) >= evidence:
             good[s] = ("j", t2)
     stems: dict[str, str] = {}
     for s in sorted(good, key=lambda s: (len(s), s)):
@@ -262,7 +266,7 @@ def learn_stems(rows: DataFrame, most_stems: int = 20_000, evidence: float = 14.
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Learn stems and weights from at most about `max_rows` labelled rows that aren't held out."""
-    rows = sample(docs, labels, max_rows)
+    rows = unlike(sample(docs, labels, max_rows))
     model = Model(stems=learn_stems(rows))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
