@@ -23,8 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """Small digests in no more partitions than four for each core of the cluster."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return substring_dedup(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+    return few_files(substring_dedup(table(spark, d, "documents"))).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
 _OP1 = r"""
