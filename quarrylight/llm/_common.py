@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,8 +107,9 @@ def bucket_bytes(n_bytes: int) -> int:
     return int(BUCKET_BYTES * min(8.0, max(1.0, (n_bytes / 40e9) ** 0.5)))
 
 
-def bucket_count(spark: SparkSession, n_bytes: int) -> int:
-    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // bucket_bytes(n_bytes)))
+def bucket_count(spark: SparkSession, n_bytes: int, times: int = 1) -> int:
+    """Buckets of about `times` as much text as usual, at least some for each shuffle partition."""
+    return max(4 // times * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // (times * bucket_bytes(n_bytes))))
 
 
 def shard_count(n_bytes: int) -> int:
@@ -168,6 +170,17 @@ def unpack(packs: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes | None]]:
     return np.array([ids[k] for k in order], np.int64), [texts[k] for k in order]
 
 
+def text_key() -> F.Column:
+    """Tells rows with one doc_id apart by their text; the same as `xxhash_of` in Python."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def xxhash_of(text: bytes | None) -> int:
+    """Spark's xxhash64 of a string column."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def id_column(ids: np.ndarray | list[int]) -> pa.Array:
     """doc_id for output: the stand-in of null ids is null again."""
     x = np.asarray(ids, np.int64)
