@@ -10,6 +10,7 @@ from .cover_tree import top_k
 from .decontaminate import decontaminate
 from .mixing import mixture
 from .pii import KINDS, find_pii
+from .quality import quality
 from .simhash import simhash_components
 from . import toxicity
 from .substring_dedup import substring_dedup
@@ -83,6 +84,10 @@ def op3_pii(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("all")).alias("spans"))
 
 
+def op4_quality(spark: SparkSession, d: str) -> DataFrame:
+    return few_files(quality(table(spark, d, "documents"), table(spark, d, "labels")))
+
+
 def op6_chat(spark: SparkSession, d: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(text).alias("text"))
@@ -137,5 +142,5 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixture(table(spark, d, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash, "op3_pii": op3_pii, "op6_chat": op6_chat, "op8_exact_top_k": op8_exact_top_k, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op2_token_output": op2_token_output, "op5_decontaminate": op5_decontaminate, "op7_simhash": op7_simhash, "op3_pii": op3_pii, "op4_quality": op4_quality, "op6_chat": op6_chat, "op8_exact_top_k": op8_exact_top_k, "op9_toxicity": op9_toxicity, "op10_mixing": op10_mixing}
 ORACLE = {"op1_substring_dedup": _OP1, "op5_decontaminate": _OP5, "op6_chat": _OP6, "op8_exact_top_k": _OP8}
