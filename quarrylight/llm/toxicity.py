@@ -138,7 +138,7 @@ class Scorer:
         known = self.classes
         if len(known) > 500_000:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in (w for w in set(words) if w not in known):
             known[w] = self.word(w)
         symbols = [known[w] for w in words]
         out = [(k, k + 1, "j") for k, x in enumerate(symbols) if x == "j"] if "j" in symbols else []
