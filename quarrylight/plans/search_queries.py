@@ -1,25 +1,247 @@
-"""Catalogue queries over the full-text operators."""
+"""Catalogue queries over the full-text operators, on whole `documents` and `pages`, with their oracle SQL.
+
+Documents stand in for chunks: the language is the category, ten documents of a
+source share a URL.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions import analysis, readability, repair, text
+from quarrylight.operators import search as S
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet")
+
+
+def chunks(spark: SparkSession, d: str) -> DataFrame:
+    url = F.concat(F.lit("https://h/"), F.col("source"), F.lit("/"), F.floor(F.col("doc_id") / 10).cast("string"))
+    title = F.regexp_extract("text", r"^([^.\n]*)", 1)
+    return _docs(spark, d).select(F.col("doc_id").alias("chunk_id"), url.alias("url"), title.alias("title"), "text", F.col("lang").alias("content_category"), F.col("n_chars"))
+
+
+TERMS = ("the", "thorn", "erhe", "queeau")
+_TOKENS = "SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents"
+_BM25 = f"""
+WITH tok AS ({_TOKENS}),
+len AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS n, avg(dl) AS mean FROM len),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN ('the', 'thorn', 'erhe', 'queeau') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (0.6 + 0.4 * dl / mean))) AS score, count(*) AS n_terms FROM tf JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1)
+"""
+
+
+def _bm25(spark: SparkSession, d: str) -> DataFrame:
+    index = S.build_index(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
+    return S.term_scores(index, list(TERMS)).groupBy(F.col("chunk_id").alias("doc_id")).agg(F.round(F.sum("score"), 6).alias("score"), F.count(F.lit(1)).alias("n_terms"))
+
+
+def q_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d).orderBy(F.desc("score"), "doc_id").limit(10)
+
+
+def q_msm(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d).where(F.col("n_terms") >= S.needed(len(TERMS))).select("doc_id", "score", "n_terms")
+
+
+def q_crossfields(spark: SparkSession, d: str) -> DataFrame:
+    found = S.match_terms(S.build_index(chunks(spark, d).select("chunk_id", "title", "text")), "the of thorn erhe", least=2)
+    return found.select(F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+_CROSS = """
+WITH f AS (SELECT doc_id, 'title' AS field, regexp_extract(text, '^([^.\\n]*)', 1) AS t FROM documents UNION ALL SELECT doc_id, 'text', text FROM documents),
+tok AS (SELECT doc_id, field, unnest(regexp_extract_all(lower(t), '[\\p{L}\\p{N}_]+')) AS term FROM f),
+len AS (SELECT doc_id, field, count(*) AS dl FROM tok GROUP BY ALL), mean AS (SELECT field, avg(dl) AS mean FROM len GROUP BY 1),
+tf AS (SELECT doc_id, field, term, count(*) AS tf FROM tok WHERE term IN ('the', 'of', 'thorn', 'erhe') GROUP BY ALL),
+df AS (SELECT term, max(df) AS df FROM (SELECT field, term, count(*) AS df FROM tf GROUP BY ALL) GROUP BY 1),
+w AS (SELECT 'title' AS field, 4.0 AS boost, 0.75 AS b UNION ALL SELECT 'text', 1.0, 0.4),
+s AS (SELECT doc_id, term, max(boost * ln(1 + ((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - b + b * dl / mean))) AS s FROM tf JOIN df USING (term) JOIN len USING (doc_id, field) JOIN mean USING (field) JOIN w USING (field) GROUP BY ALL)
+SELECT doc_id, round(sum(s), 6) AS score FROM s GROUP BY 1 HAVING count(*) >= 2
+"""
+
+
+def q_phrase(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where(S.has_phrase(F.col("text"), "of the the")).select("doc_id")
+
+
+def q_phrase_slop(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).where(S.has_phrase(F.col("text"), "the and of", slop=2)).select("doc_id")
+
+
+def q_minus(spark: SparkSession, d: str) -> DataFrame:
+    index = S.build_index(chunks(spark, d).select("chunk_id", "text"))
+    return S.run_query(index, "and -the").select(F.col("chunk_id").alias("doc_id"))
+
+
+def q_phrase_or(spark: SparkSession, d: str) -> DataFrame:
+    index = S.build_index(chunks(spark, d).select("chunk_id", "title", "text"))
+    return S.run_query(index, '"of the"').select(F.col("chunk_id").alias("doc_id"))
+
+
+def q_fuzzy(spark: SparkSession, d: str) -> DataFrame:
+    index = S.build_index(_docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"))
+    return S.near_words(index.postings, "thron", most=1_000_000).select("term", F.col("df").cast("long").alias("df"), F.col("edits").cast("long").alias("edits"))
+
+
+def q_facets(spark: SparkSession, d: str) -> DataFrame:
+    found = S.facets(chunks(spark, d), "fr", ("en", "fr", "xx"))
+    return found.select("category", F.col("n").cast("long").alias("n"), "selected")
+
+
+def q_postfilter(spark: SparkSession, d: str) -> DataFrame:
+    hits = chunks(spark, d).where(S.has_phrase(F.col("text"), "of"))
+    counts = S.facets(hits, "en", ("en", "de"))
+    shown = hits.where("content_category = 'en'").agg(F.countDistinct("url").alias("shown"))
+    return counts.crossJoin(F.broadcast(shown)).select("category", F.col("n").cast("long").alias("n"), F.col("shown").cast("long").alias("shown"))
+
+
+def q_total(spark: SparkSession, d: str) -> DataFrame:
+    return chunks(spark, d).where("content_category = 'en'").agg(F.countDistinct("url").alias("total"), F.least(F.count(F.lit(1)), F.lit(10_000)).cast("long").alias("hits"))
+
+
+def q_collapse(spark: SparkSession, d: str) -> DataFrame:
+    hits = chunks(spark, d).withColumn("score", F.col("n_chars").cast("double"))
+    return S.collapse(hits).select("url", "chunk_id", "score")
+
+
+def q_collapse_lines(spark: SparkSession, d: str) -> DataFrame:
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("url"), F.col("l_linenumber").alias("chunk_number"), F.col("l_extendedprice").alias("score"))
+    return S.collapse(lines)
+
+
+def q_sort_date(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    hits = orders.select(F.col("o_orderkey").cast("string").alias("url"), F.when(F.col("o_orderkey") % 7 != 0, F.to_date("o_orderdate")).alias("sort_date"), F.col("o_totalprice").alias("score"))
+    rows = S.page(hits, "date_asc", limit=50, offset=100)
+    return rows.select("url", F.col("sort_date").cast("string").alias("sort_date"), "score")
+
+
+def q_filters(spark: SparkSession, d: str) -> DataFrame:
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    hits = orders.select("o_orderkey", F.col("o_orderstatus").alias("doc_type"), F.col("o_orderpriority").alias("document_kind"), F.to_date("o_orderdate").alias("sort_date"), (F.col("o_custkey") % 2 == 0).alias("is_attachment"))
+    return S.filters(hits, kind=" 1-URGENT ", date_from="1996-01-01", date_to="1996-12-31", doc_type="O", attachment=True).select("o_orderkey")
+
+
+def q_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole search with facets above the filter; rows of the first page."""
+    index = S.build_index(chunks(spark, d))
+    return S.search(index, "thorn the erhe", category="en").items.select("url", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def q_compact(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.compact(F.col("text")).alias("compact"))
+
+
+def q_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.sha2(text.normalize_lines(F.col("text")), 256).alias("lines"))
+
+
+def q_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", F.size(analysis.exact_terms(F.col("text"))).cast("long").alias("n"), F.sha2(F.array_join(analysis.exact_terms(F.col("text")), " "), 256).alias("terms"))
+
+
+def q_stop(spark: SparkSession, d: str) -> DataFrame:
+    left = analysis.without(analysis.exact_terms(F.col("text")), ("the", "of", "and"))
+    return _docs(spark, d).select("doc_id", F.size(left).cast("long").alias("n"))
+
+
+def q_truncate(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", text.truncate(F.col("text"), 180).alias("short"))
+
+
+def q_quality(spark: SparkSession, d: str) -> DataFrame:
+    r = readability.readability(_docs(spark, d))
+    return r.select("doc_id", F.col("score").cast("long").alias("score"), "reason")
+
+
+def q_garbled(spark: SparkSession, d: str) -> DataFrame:
+    return readability.garbled(_docs(spark, d)).groupBy("lang", "garbled").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENGLISH = ", ".join(f"'{w}'" for w in readability.ENGLISH)
+_RUSSIAN = ", ".join(f"'{w}'" for w in readability.RUSSIAN)
+_QUALITY = f"""
+WITH c AS (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[A-Za-zА-Яа-яЁё]{{2,}}') AS w, length(t) AS chars, length(t) - length(regexp_replace(t, '\\p{{L}}', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '\\p{{Nd}}', '', 'g')) AS digits FROM c),
+m AS (SELECT *, len(w) AS n,
+  CASE WHEN letters > 0 THEN (length(t) - length(regexp_replace(t, '[А-Яа-яЁё]', '', 'g'))) / letters ELSE 0 END AS cyr,
+  CASE WHEN letters > 0 THEN (length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g'))) / letters ELSE 0 END AS lat,
+  CASE WHEN chars > 0 THEN (length(t) - length(regexp_replace(t, '[{{}}\\[\\]\\\\|^~`_]', '', 'g'))) / chars ELSE 0 END AS sus,
+  CASE WHEN chars > 0 THEN length(regexp_replace(t, '[\\p{{C}}\\p{{Zl}}\\p{{Zp}}]', '', 'g')) / chars ELSE 0 END AS pri,
+  CASE WHEN chars > 0 THEN (letters + digits) / chars ELSE 0 END AS aln,
+  len([x FOR x IN w IF lower(x) IN ({_ENGLISH})]) AS eng, len([x FOR x IN w IF lower(x) IN ({_RUSSIAN}, {_ENGLISH})]) AS hits,
+  CASE WHEN len(w) > 0 THEN len([x FOR x IN w IF regexp_matches(lower(x), '[аеёиоуыэюяaeiouy]')]) / len(w) ELSE 0 END AS vow,
+  CASE WHEN len(w) > 0 THEN len([x FOR x IN w IF length(x) >= 4 AND x <> lower(x) AND x <> upper(x) AND x <> upper(x[1]) || lower(x[2:])]) / len(w) ELSE 0 END AS mix,
+  CASE WHEN len(w) > 0 THEN list_sum([length(x) FOR x IN w]) / len(w) ELSE 0 END AS mean, CASE WHEN len(w) > 0 THEN len([x FOR x IN w IF length(x) <= 2]) / len(w) ELSE 0 END AS short FROM w),
+r AS (SELECT *, cyr >= 0.28 AND n >= 3 AND mean >= 3.1 AS rus, lat >= 0.7 AND eng >= greatest(2, ceil(n * 0.04)) AS engl, digits >= 20 AND aln >= 0.55 AND n >= 3 AS tab FROM m),
+u AS (SELECT *, letters >= 40 AND lat >= 0.7 AND NOT engl AS unk, n >= 10 AND mean < 3.1 AND short >= 0.45 AS frag, letters >= 40 AND cyr BETWEEN 0.18 AND 0.75 AND lat >= 0.2 AND hits < 2 AND short >= 0.35 AS impl FROM r),
+s AS (SELECT *, greatest(0, least(100, CASE WHEN chars >= 80 THEN 15 WHEN chars >= 40 THEN 7 ELSE 0 END + CASE WHEN pri >= 0.98 THEN 10 WHEN pri >= 0.9 THEN 5 ELSE 0 END + CASE WHEN aln >= 0.55 THEN 10 WHEN aln >= 0.35 THEN 5 ELSE 0 END
+  + CASE WHEN n >= 8 THEN 10 WHEN n >= 3 THEN 5 ELSE 0 END + CASE WHEN rus THEN 38 WHEN engl THEN 34 WHEN tab THEN 20 ELSE 0 END + CASE WHEN vow >= 0.65 THEN 8 WHEN vow >= 0.4 THEN 4 ELSE 0 END + least(9, hits * 3)
+  - CASE WHEN unk THEN 35 ELSE 0 END - CASE WHEN frag THEN 30 ELSE 0 END - CASE WHEN impl THEN 25 ELSE 0 END - CASE WHEN mix >= 0.25 THEN 22 WHEN mix >= 0.12 THEN 10 ELSE 0 END - CASE WHEN sus >= 0.025 THEN 20 WHEN sus >= 0.01 THEN 8 ELSE 0 END)) AS score FROM u),
+q AS (SELECT doc_id, lang, chars, CAST(score AS BIGINT) AS score, CASE WHEN chars < 80 THEN 'too_short' WHEN letters < 20 AND NOT tab THEN 'too_few_letters' WHEN unk THEN 'unknown_latin_glyph_layer' WHEN frag THEN 'fragmented_words' WHEN impl THEN 'implausible_mixed_script' WHEN mix >= 0.25 THEN 'suspicious_mixed_case' WHEN sus >= 0.025 THEN 'suspicious_symbols' WHEN score < 55 THEN 'low_quality_score' ELSE 'readable' END AS reason FROM s)
+"""
+
+
+def _values(spark: SparkSession, rows: list[str | None]) -> DataFrame:
+    return spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id long, v string")
+
+
+def _constants(rows: list[tuple[str | None, str]]) -> str:
+    """SQL of expected literal rows."""
+    return "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{want}')" for i, (_, want) in enumerate(rows)) + ") AS t(id, want)"
+
+
+#: Ways to write one number, and what they must become.
+NUMBERS = [("512-р", "512-р"), ("512-Р", "512-р"), ("№ 512-р", "512-р"), ("№512 - р", "512-р"), ("512 – р", "512-р"), ("512—р", "512-р"), (" 512-p ", "512-р"), ("N512-P", "512-р"), ("No 512-р", "512-р"), ("№ 512-р", "512-р"), ("84-PC", "84-рс"), ("131-ФЗ", "131-фз"), (None, "")]
+HYPHENS = [("благоустрой-\nство", "благоустройство"), ("город-курорт", "город-курорт"), ("Ивано-\nПетров", "Ивано-\nПетров"), ("пере­\n нос", "перенос"), ("12-\nр", "12-\nр")]
+SCRIPTS = [("Cочи", "Сочи"), ("pешение", "решение"), ("город", "город"), ("city", "city"), ("Zлово", "Zлово"), ("cityо", "cityo"), ("512-p от", "512-р от"), ("№ 512…", "№ 512…")]
+TECHNICAL = [("028e97063df6b807dc50e5901603af2e.docx", "true"), ("tg7dcgl1954sjipys673nrc12y1zd6o0.docx", "true"), ("0f8fad5b-d9cb-469f-a165-70867728950e", "true"), ("postanovlenie-512.pdf", "false"), ("abcdefghijklmnopqrstuvwxyz", "false"), ("short1.pdf", "false")]
+NUMBER_SHAPES = [("№ 512", "true"), ("512-р", "true"), ("благоустройство", "false")]
+DATES = [("2024-03-14", "14 марта 2024"), ("2024-13-01", "2024-13-01"), ("скоро", "скоро")]
+GUARD = [("=1+1", "''=1+1"), ("+7", "''+7"), ("-x", "''-x"), ("@a", "''@a"), ("plain", "plain"), (None, "")]
+PARTS = [("512-р", "512 р 512р"), ("84 рс", "84 рс"), ("№ 7", "7")]
 
-def tokens(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
+def _literal(rows: list[tuple[str | None, str]], f):
+    return lambda spark, d: _values(spark, [v for v, _ in rows]).select("id", f(F.col("v")).cast("string").alias("want"))
 
-def q_bm25(spark: SparkSession, d: str, terms: tuple[str, ...] = ("the", "thorn", "erhe", "queeau"), k: int = 10) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    lens = docs.groupBy("doc_id").agg(F.count("*").alias("dl"))
-    stats = lens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    tf = docs.filter(F.col("term").isin(*terms)).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + 1.2 * (0.6 + 0.4 * F.col("dl") / F.col("avgdl")))
-    return tf.join(df, "term").join(lens, "doc_id").crossJoin(F.broadcast(stats)).groupBy("doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("n_terms")).orderBy(F.desc("score"), "doc_id").limit(k)
 
+QUERIES = {
+    "q_bm25": q_bm25, "q_msm": q_msm, "q_crossfields": q_crossfields, "q_phrase": q_phrase, "q_phrase_slop": q_phrase_slop, "q_minus": q_minus, "q_phrase_or": q_phrase_or, "q_fuzzy": q_fuzzy, "q_facets": q_facets,
+    "q_postfilter": q_postfilter, "q_total": q_total, "q_collapse": q_collapse, "q_collapse_lines": q_collapse_lines, "q_sort_date": q_sort_date, "q_filters": q_filters, "q_search": q_search, "q_compact": q_compact, "q_lines": q_lines,
+    "q_tokens": q_tokens, "q_stop": q_stop, "q_truncate": q_truncate, "q_quality": q_quality, "q_garbled": q_garbled,
+    "q_docnum": _literal(NUMBERS, repair.document_number), "q_hyphen": _literal(HYPHENS, repair.join_hyphens), "q_repair": _literal(SCRIPTS, repair.repair), "q_techname": _literal(TECHNICAL, text.technical_name),
+    "q_number_shape": _literal(NUMBER_SHAPES, repair.looks_like_number), "q_date_display": _literal(DATES, text.format_date), "q_csv_guard": _literal(GUARD, text.csv_guard), "q_number_terms": _literal(PARTS, lambda c: F.array_join(analysis.number_terms(c), " ")),
+}
 
-QUERIES = {"q_bm25": q_bm25}
-ORACLE: dict[str, str] = {}
+_URL = "'https://h/' || source || '/' || CAST(doc_id // 10 AS VARCHAR)"
+_PADDED = "SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ') || ' ' AS t FROM documents"
+ORACLE = {
+    "q_bm25": _BM25 + "SELECT doc_id, round(score, 6) AS score, n_terms FROM s ORDER BY 2 DESC, 1 LIMIT 10",
+    "q_msm": _BM25 + "SELECT doc_id, round(score, 6) AS score, n_terms FROM s WHERE n_terms >= 3",
+    "q_crossfields": _CROSS,
+    "q_phrase": f"SELECT doc_id FROM ({_PADDED}) WHERE t LIKE '% of the the %'",
+    "q_phrase_slop": f"SELECT doc_id FROM ({_PADDED}) WHERE regexp_matches(t, ' the (\\S+ ){{0,2}}and (\\S+ ){{0,2}}of ')",
+    "q_minus": f"SELECT doc_id FROM ({_PADDED}) WHERE t LIKE '% and %' AND t NOT LIKE '% the %'",
+    "q_phrase_or": f"SELECT doc_id FROM ({_PADDED}) WHERE t LIKE '% of the %'",
+    "q_fuzzy": f"WITH t AS (SELECT DISTINCT doc_id, term FROM ({_TOKENS})), v AS (SELECT term, count(*) AS df FROM t WHERE term LIKE 't%' AND length(term) BETWEEN 4 AND 6 GROUP BY 1) SELECT term, df, CAST(CASE WHEN term IN ('trhon', 'thorn', 'thrno') THEN 1 ELSE levenshtein(term, 'thron') END AS BIGINT) AS edits FROM v WHERE CASE WHEN term IN ('trhon', 'thorn', 'thrno') THEN 1 ELSE levenshtein(term, 'thron') END <= 1",
+    "q_facets": f"WITH c AS (SELECT lang, {_URL} AS url FROM documents) SELECT k.category, CASE WHEN k.category = 'all' THEN (SELECT count(DISTINCT url) FROM c) ELSE (SELECT count(DISTINCT url) FROM c WHERE lang = k.category) END AS n, k.category = 'fr' AS selected FROM (VALUES ('all'), ('en'), ('fr'), ('xx')) AS k(category)",
+    "q_postfilter": f"WITH p AS ({_PADDED}), c AS (SELECT lang, {_URL} AS url FROM documents JOIN p USING (doc_id) WHERE t LIKE '% of %') SELECT k.category, CASE WHEN k.category = 'all' THEN (SELECT count(DISTINCT url) FROM c) ELSE (SELECT count(DISTINCT url) FROM c WHERE lang = k.category) END AS n, (SELECT count(DISTINCT url) FROM c WHERE lang = 'en') AS shown FROM (VALUES ('all'), ('en'), ('de')) AS k(category)",
+    "q_total": f"SELECT count(DISTINCT {_URL}) AS total, least(count(*), 10000) AS hits FROM documents WHERE lang = 'en'",
+    "q_collapse": f"SELECT {_URL} AS url, doc_id AS chunk_id, CAST(n_chars AS DOUBLE) AS score FROM documents QUALIFY row_number() OVER (PARTITION BY {_URL} ORDER BY n_chars DESC, doc_id) = 1",
+    "q_collapse_lines": "SELECT l_orderkey AS url, l_linenumber AS chunk_number, l_extendedprice AS score FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) = 1",
+    "q_sort_date": "SELECT CAST(o_orderkey AS VARCHAR) AS url, CAST(CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS VARCHAR) AS sort_date, o_totalprice AS score FROM orders ORDER BY CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END ASC NULLS LAST, o_totalprice DESC, 1 LIMIT 50 OFFSET 100",
+    "q_filters": "SELECT o_orderkey FROM orders WHERE lower(o_orderpriority) = '1-urgent' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND o_orderstatus = 'O' AND o_custkey % 2 = 0",
+    "q_compact": "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS compact FROM documents",
+    "q_lines": "SELECT doc_id, sha256(array_to_string([x FOR x IN [trim(regexp_replace(y, '[ \\t]+', ' ', 'g')) FOR y IN string_split(text, chr(10))] IF x <> ''], chr(10))) AS lines FROM documents",
+    "q_tokens": "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n, sha256(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), ' ')) AS terms FROM documents",
+    "q_stop": "SELECT doc_id, len([x FOR x IN regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') IF x NOT IN ('the', 'of', 'and')]) AS n FROM documents",
+    "q_truncate": "WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE rtrim(left(t, 180), ' ,.;:-') || '…' END AS short FROM c",
+    "q_quality": _QUALITY + "SELECT doc_id, score, reason FROM q",
+    "q_garbled": _QUALITY + "SELECT lang, chars >= 80 AND reason <> 'readable' AS garbled, count(*) AS n FROM q GROUP BY ALL",
+    "q_docnum": _constants(NUMBERS), "q_hyphen": _constants(HYPHENS), "q_repair": _constants(SCRIPTS), "q_techname": _constants(TECHNICAL), "q_number_shape": _constants(NUMBER_SHAPES), "q_date_display": _constants(DATES), "q_csv_guard": _constants(GUARD), "q_number_terms": _constants(PARTS),
+}
