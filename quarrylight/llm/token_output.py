@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -149,16 +150,19 @@ class _Encoder:
         ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()]
         stems = [w for w in {*words}.difference(ended).union(w[:-1] for w in ended) if w not in known]
         k = self.dtype().itemsize
-        text_of = {w: w[1:] if w[0] == FIRST else " " + w for w in stems}
-        letters = [w for w, t in text_of.items() if t.strip(" ").isalpha()]  # one piece for the pattern: straight to the model
-        for w in letters:
-            t = text_of[w]
-            t = t.replace(" ", _SHOWN[32]) if t.isascii() else t.encode().decode("latin-1").translate(_SHOWN)
-            known[w] = np.array([x.id for x in self.model.tokenize(t)], self.dtype).tobytes()
-        rest = [w for w in stems if w not in known]
+        tokenize, code, blank, rest = self.model.tokenize, "H" if k == 2 else "I", _SHOWN[32], []
+        for w in stems:
+            first = w[0] == FIRST
+            core = w[1:] if first else w
+            if not core.isalpha():
+                rest.append(w)
+                continue
+            # One piece for the pattern: straight to the model, as it sees the bytes.
+            shown = core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)
+            known[w] = array(code, [x.id for x in tokenize(shown if first else blank + shown)]).tobytes()
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            found = self.tokenizer.encode([text_of[w] for w in part], is_pretokenized=True, add_special_tokens=False)
+            found = self.tokenizer.encode([w[1:] if w[0] == FIRST else " " + w for w in part], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, self.dtype).tobytes()
             ends = (k * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
             known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
