@@ -40,9 +40,9 @@ FIRST = "\x01"
 #: Ids after which a chunk ends.
 CHUNK_IDS = 1 << 20
 #: Pieces of text that a worker remembers the ids of; then it starts afresh.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 400_000
 #: Bytes of text that are encoded together.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 _CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"
@@ -257,6 +257,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 begin, held, n = k, [], 0
         if ids:
             yield chunk()
+            ids, parts = [], []
+        C.release()
 
     # Ranges of doc_id with about as many rows each; (shards - 1) numbers come to the driver.
     bounds = np.array([], np.int64)

@@ -136,7 +136,7 @@ class Scorer:
         """(first word, end, mark) of each clause with a mark, and of each hint word."""
         words = _WORD.findall(text.lower()) if text else []
         known = self.classes
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in (w for w in set(words) if w not in known):
             known[w] = self.word(w)
@@ -305,6 +305,8 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
             found = [scorer.clauses(t) for t in batch.column(1).to_pylist()]
             scores = [scorer.score(scorer.of(clauses)) for clauses in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([[{"start": a, "end": b, "mark": m} for a, b, m in c] for c in found], kind)], ["row", "score", "predicted", "clauses"])
+        del scorer
+        C.release()
 
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(whole.alias("row"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
