@@ -40,7 +40,7 @@ FIRST = "\x01"
 #: Ids after which a chunk ends.
 CHUNK_IDS = 1 << 20
 #: Pieces of text that a worker remembers the ids of; then it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 500_000
 #: Bytes of text that are encoded together.
 TOGETHER = 8 << 20
 #: Bytes of text for each shard.
@@ -129,6 +129,9 @@ class _Encoder:
         self.model = self.tokenizer.model
         #: Ids of words; a word at the start of a line stands with FIRST before it.
         self.known: dict[str, bytes] = {}
+        #: Words that the last two inputs had and that were known before: these stay when there are too many.
+        self.again: set[str] = set()
+        self.last: set[str] = set()
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -182,12 +185,14 @@ class _Encoder:
         if self.blank("".join(distinct)):
             odd |= np.array([w != "\n" and self.blank(w) is not None for w in distinct])
         if len(self.known) > CACHE_PIECES:
-            self.known = {w: ids for w, ids in self.known.items() if len(w) <= 6}  # short words are the frequent ones
-            self.known = {} if len(self.known) > CACHE_PIECES // 2 else self.known
+            self.known = {w: self.known[w] for w in self.again if w in self.known}
         known = self.known
         known["\n"] = self.line
         parts = list(map(known.get, distinct))
         missing = [k for k, p in enumerate(parts) if p is None]
+        again = {w for w, p in zip(distinct, parts) if p is not None}
+        self.again = again | self.last if len(again) < CACHE_PIECES // 4 else again
+        self.last = again
         self.learn([distinct[k] for k in missing if not odd[k]])
         for k in missing:
             parts[k] = b"" if odd[k] else known[distinct[k]]
