@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 ORDER = 5
+#: Bytes of text whose n-grams are held at once.
+PART = 1 << 20
 #: Bytes that may follow anything, with equal chances, under the unigrams.
 _BYTES = 256
 
@@ -51,6 +53,16 @@ def _grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return grams[at], np.cumsum(sizes)
 
 
+def _parts(texts: list[bytes | None]) -> Iterator[slice]:
+    """The texts in stretches of about PART bytes, so that a bucket's n-grams aren't all held at once."""
+    begin = size = 0
+    for k, t in enumerate(texts, 1):
+        size += len(t or b"")
+        if size >= PART or k == len(texts):
+            yield slice(begin, k)
+            begin, size = k, 0
+
+
 def _shards(n: int):
     """N-grams dealt to shards by a hash: an order by (shard, n-gram), and (shard, from, to) in that order."""
 
@@ -72,10 +84,13 @@ def _count_and_ask(n_shards: int):
             bucket = packs.column("bucket")[0].as_py()
             ids, texts = C.unpack(packs.column("pack"))
             good = np.isin(ids, np.concatenate([np.empty(0, np.int64), *(np.frombuffer(x, np.int64) for x in trusted.column("ids").to_pylist())]))
-            grams, ends = _grams(texts)
-            sizes = np.diff(np.r_[0, ends])
-            values, inverse = np.unique(grams, return_inverse=True)
-            counts = np.bincount(inverse, weights=np.repeat(good, sizes), minlength=len(values)).astype(np.uint32)
+            found = []
+            for part in _parts(texts):
+                grams, ends = _grams(texts[part])
+                own, inverse = np.unique(grams, return_inverse=True)
+                found.append((own, np.bincount(inverse, weights=np.repeat(good[part], np.diff(np.r_[0, ends])), minlength=len(own))))
+            values, inverse = np.unique(np.concatenate([v for v, _ in found]), return_inverse=True)
+            counts = np.bincount(inverse, weights=np.concatenate([c for _, c in found]), minlength=len(values)).astype(np.uint32)
             order, parts = cut(values)
             values, counts = values[order], counts[order]
             for s, a, b in parts:
@@ -147,21 +162,21 @@ def _reply(asks: pa.Table, known: pa.Table) -> pa.Table:
 
 
 def _score(packs: pa.Table, replies: pa.Table) -> pa.Table:
-    out = ([], [], [])
+    ids, texts, n, mean = np.empty(0, np.int64), [], [], []
     if packs.num_rows:
         ids, texts = C.unpack(packs.column("pack"))
-        grams, ends = _grams(texts)
         known = np.concatenate([np.empty(0, np.uint64), *(C.decode_sorted(x) for x in replies.column("grams").to_pylist())])
-        logs = np.concatenate([np.empty(0, np.float32), *(C.decode_planes(x, np.float32) for x in replies.column("logs").to_pylist())]).astype(float)
+        logs = np.concatenate([np.empty(0, np.float32), *(C.decode_planes(x, np.float32) for x in replies.column("logs").to_pylist())])
         order = np.argsort(known)
-        sums = np.r_[0.0, np.cumsum(logs[order][np.searchsorted(known[order], grams)])] if len(grams) else np.zeros(1)
-        begins = np.r_[0, ends[:-1]]
-        n = ends - begins
-        with np.errstate(invalid="ignore", divide="ignore"):
-            out = (ids, n, np.exp(-(sums[ends] - sums[begins]) / n))
-        out = (ids, n, np.where(n > 0, out[2], np.nan))
-    keys = [C.xxhash_of(t) for t in texts] if packs.num_rows else []
-    return pa.table({"doc_id": C.id_column(out[0]), "key": pa.array(keys, pa.int64()), "n_bytes": pa.array(out[1], pa.int64()), "perplexity": pa.array(out[2], pa.float64(), from_pandas=True)})
+        known, logs = known[order], logs[order]
+        for part in _parts(texts):
+            grams, ends = _grams(texts[part])
+            sums = np.r_[0.0, np.cumsum(logs[np.searchsorted(known, grams)], dtype=float)] if len(grams) else np.zeros(1)
+            begins = np.r_[0, ends[:-1]]
+            n += (ends - begins).tolist()
+            mean += ((sums[ends] - sums[begins]) / np.maximum(1, ends - begins)).tolist()
+    perplexity = [float(np.exp(-m)) if k else None for k, m in zip(n, mean)]
+    return pa.table({"doc_id": C.id_column(ids), "key": pa.array([C.xxhash_of(t) for t in texts], pa.int64()), "n_bytes": pa.array(n, pa.int64()), "perplexity": pa.array(perplexity, pa.float64())})
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: float = 1.1) -> DataFrame:
