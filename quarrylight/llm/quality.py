@@ -186,7 +186,7 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, slack: f
     """
     spark = docs.sparkSession
     _, n_bytes = C.shape_of(docs)
-    buckets, shards = C.bucket_count(spark, n_bytes, 4), max(1, -(-n_bytes // (8 * C.bucket_bytes(n_bytes))))
+    buckets, shards = C.bucket_count(spark, n_bytes, 4), max(24, -(-n_bytes // (8 * C.bucket_bytes(n_bytes))))
     packed = C.pack_docs(docs, buckets)
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
 
