@@ -18,6 +18,11 @@ GENERIC_PARTS = ("скачать документ", "скачать файл")
 TECHNICAL_NAME = r"(?i)^(?:(?=[a-z0-9]*\d)[a-z0-9]{24,64}|[0-9a-f]{8}-[0-9a-f-]{20,28})(?:\.[a-z0-9]{1,5})?$"
 
 
+def let(c: Column, body) -> Column:
+    """body(c), with c evaluated once and standing once in the plan, however often body uses it."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -46,8 +51,7 @@ def strip_tags(c: Column) -> Column:
 
 def truncate(c: Column, limit: int = 500) -> Column:
     """At most `limit` characters and an ellipsis; no blanks or punctuation before it."""
-    x = compact(c)
-    return F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, limit), "[ ,.;:-]+$", ""), F.lit("…")))
+    return let(compact(c), lambda x: F.when(F.length(x) <= limit, x).otherwise(F.concat(F.regexp_replace(F.substring(x, 1, limit), "[ ,.;:-]+$", ""), F.lit("…"))))
 
 
 def query_words(c: Column) -> Column:
@@ -66,29 +70,32 @@ def technical_name(c: Column) -> Column:
 
 
 def is_generic_title(c: Column, generic_parts: tuple[str, ...] = GENERIC_PARTS) -> Column:
-    t = F.lower(compact(c))
-    marked = F.lit(False)
-    for m in DOCUMENT_MARKERS:
-        marked = marked | F.contains(t, F.lit(m.lower()))
-    generic = F.lit(False)
-    for p in generic_parts:
-        generic = generic | F.contains(t, F.lit(p))
-    return (t == "") | technical_name(t) | t.isin(*GENERIC_TITLES) | (generic & ~marked)
+
+    def judge(t: Column) -> Column:
+        marked, generic = F.lit(False), F.lit(False)
+        for m in DOCUMENT_MARKERS:
+            marked = marked | F.contains(t, F.lit(m.lower()))
+        for p in generic_parts:
+            generic = generic | F.contains(t, F.lit(p))
+        return (t == "") | technical_name(t) | t.isin(*GENERIC_TITLES) | (generic & ~marked)
+
+    return let(F.lower(compact(c)), judge)
 
 
 def title_from_text(c: Column) -> Column:
     """From the first act marker on, up to a closing quote or the end of a sentence."""
-    x = compact(c)
-    low = F.lower(x)
-    places = F.filter(F.array(*[F.locate(m.lower(), low) for m in DOCUMENT_MARKERS]), lambda p: p > 0)
-    start = F.array_min(places)
-    part = F.substring(x, start, F.lit(320))
-    at = lambda s, since, least: F.locate(s, part, since) - 1
-    quotes = F.filter(F.array(at("»", 1, 40), at('"', 21, 40)), lambda p: p >= 40)
-    sentences = F.filter(F.array(at(". ", 81, 80), at("; ", 81, 80)), lambda p: p >= 80)
-    end = F.coalesce(F.array_min(quotes), F.array_min(sentences))
-    title = F.when(end.isNotNull(), F.substring(part, F.lit(1), end + 1)).otherwise(part)
-    return F.when(x == "", F.lit("")).when(F.size(places) == 0, truncate(x, 180)).otherwise(truncate(title, 240))
+
+    def of_part(part: Column) -> Column:
+        at = lambda s, since, least: F.locate(s, part, since) - 1
+        quotes = F.filter(F.array(at("»", 1, 40), at('"', 21, 40)), lambda p: p >= 40)
+        sentences = F.filter(F.array(at(". ", 81, 80), at("; ", 81, 80)), lambda p: p >= 80)
+        return let(F.coalesce(F.array_min(quotes), F.array_min(sentences)), lambda end: truncate(F.when(end.isNotNull(), F.substring(part, F.lit(1), end + 1)).otherwise(part), 240))
+
+    def of_text(x: Column) -> Column:
+        start = let(F.lower(x), lambda low: F.array_min(F.filter(F.array(*[F.locate(m.lower(), low) for m in DOCUMENT_MARKERS]), lambda p: p > 0)))
+        return F.when(x == "", F.lit("")).otherwise(let(start, lambda at: F.when(at.isNull(), truncate(x, 180)).otherwise(let(F.substring(x, at, F.lit(320)), of_part))))
+
+    return let(compact(c), of_text)
 
 
 def format_date(c: Column) -> Column:

@@ -58,3 +58,27 @@ def content_hash(title: Column, section: Column, category: Column, site_section:
     links = F.transform(F.array_sort(attachments), lambda a: F.concat(F.lit("ATTACHMENT:"), a["url"], F.lit("|"), a["title"]))
     body = F.array_join(F.transform(pages, lambda p: F.concat(F.lit("PAGE:"), p["page_number"].cast("string"), F.lit("\n"), p["text"])), "\n\f\n")
     return F.sha2(F.concat(F.array_join(F.concat(lines, links), "\n"), F.lit("\n\f\n"), body), 256)
+
+
+def chunk_documents(pieces: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks with what the index knows of their document.
+
+    documents has one row for each url: doc_type, title, parts of the act, the
+    parent page, and the numbers of recognised (ocr_pages) and unreadable pages.
+    Files take number, date and kind from what was read out for them, pages fall
+    back on the queue's values; files without a category take their parent's.
+    """
+    from quarrylight.functions.titles import canonical_number_or_null
+    from quarrylight.functions.urls import crawl_category
+
+    is_file = F.col("doc_type").isin("pdf", "file")
+    doc = documents
+    for c in ("document_number", "document_date", "document_kind"):
+        doc = doc.withColumn(c, F.when(is_file, F.col(c)).otherwise(F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"row_{c}")))).drop(f"row_{c}")
+    parent = F.coalesce(F.nullif("parent_url", F.lit("")), F.nullif("page_url", F.lit("")))
+    category = F.coalesce(F.nullif("content_category", F.lit("")), F.when(is_file & parent.isNotNull(), crawl_category(parent)))
+    doc = doc.withColumns({"content_category": category, "document_number_normalized": canonical_number_or_null(F.col("document_number")), "sort_date": F.coalesce(F.nullif("document_date", F.lit("")), F.col("published_at")), "is_attachment": is_file})
+    joined = pieces.join(doc, "url")
+    ocr = F.array_contains("ocr_pages", F.col("page_number"))
+    how = F.when(ocr, "ocr").when(F.array_contains("unreadable_pages", F.col("page_number")), "metadata_only").otherwise("native")
+    return joined.withColumns({"ocr_used": ocr, "text_extraction": how, "ocr_page_count": F.size("ocr_pages"), "unreadable_page_count": F.size("unreadable_pages")})

@@ -118,3 +118,42 @@ def test_stream_of_events_makes_snapshots(spark, tmp_path):
     events = spark.readStream.schema("url string, event string, at long").parquet(str(tmp_path / "e"))
     last = leases.work_off(spark, events, str(tmp_path / "s"), str(tmp_path / "c"))
     assert last == 1 and {r.url: r.status for r in leases.snapshot(spark, str(tmp_path / "s"), last).collect()} == {"a": "gone", "b": "quarantined"}
+
+
+def test_titles_and_snippets(spark):
+    from quarrylight.functions import titles as T
+
+    lit = F.lit
+    long_text = "Остальной текст документа достаточно длинный, чтобы остаться после заголовка и не пропасть совсем из выдачи поиска."
+    row = spark.range(1).select(
+        T.act_title(lit("Приказ"), lit("7"), lit(None)).alias("act"), T.act_title(lit(""), lit("7"), lit("x")).alias("none"),
+        T.shown_title(lit("Файл"), lit("Отчёт за 2024"), lit(None), lit(None), lit(None), lit("t"), lit(None), lit(False)).alias("attachment"),
+        T.shown_title(lit("pdf"), lit(""), lit("Приказ"), lit("7"), lit("2024-03-14"), lit("t"), lit(None), lit(False)).alias("by_act"),
+        T.shown_title(lit(None), lit(None), lit(None), lit(None), lit(None), lit(""), lit(None), lit(True)).alias("untitled"),
+        T.indexed_title(lit("pdf"), lit("028e97063df6b807dc50e5901603af2e"), lit(""), lit(None), lit(None), lit(None), F.array(lit("шум Постановление о парке"))).alias("indexed"),
+        T.url_title(lit("https://h/a/%D0%BF%D0%BB%D0%B0%D0%BD+1.pdf")).alias("url_title"), T.url_title(lit("https://h/028e97063df6b807dc50e5901603af2e.pdf")).alias("machine"),
+        T.clean_site_text(lit("Мэрия: <b>Текст</b> &amp; дело Действия: Поделиться ещё"), 100, ("Мэрия: ",)).alias("clean"),
+        T.restore_start(lit("овости города сегодня"), lit("Новости города")).alias("restored"), T.drop_title(lit("Новости города. " + long_text), lit("Новости города")).alias("dropped"),
+        T.result_snippet(lit("кратко"), lit("Новости города. " + long_text), lit("Новости города")).alias("snippet"),
+    ).first()
+    assert (row.act, row.none, row.attachment, row.by_act, row.untitled) == ("Приказ № 7", None, "Отчёт за 2024", "Приказ № 7 от 14 марта 2024", "Без названия")
+    assert (row.indexed, row.url_title, row.machine) == ("Постановление о парке", "план+1.pdf", "")
+    assert row.clean == "Текст & дело" and row.restored == "Новости города сегодня" and row.dropped == long_text and row.snippet == long_text
+
+
+def test_chunk_documents(spark):
+    pages = spark.createDataFrame([("u", 1, "page one"), ("u", 2, "page two")], "url string, page_number int, text string")
+    docs = spark.createDataFrame([("u", "pdf", "T", "№ 84 – PC", None, None, None, None, None, "https://h/press-sluzhba/novosti/1", None, "2024-01-01", None, [2], [])], "url string, doc_type string, title string, document_number string, document_date string, document_kind string, row_document_number string, row_document_date string, row_document_kind string, parent_url string, page_url string, published_at string, content_category string, ocr_pages array<int>, unreadable_pages array<int>")
+    got = chunking.chunk_documents(chunking.chunks(pages), docs).orderBy("chunk_number").collect()
+    assert [(r.document_number_normalized, r.content_category, r.sort_date, r.is_attachment, r.text_extraction, r.ocr_page_count) for r in got] == [("84-рс", "news", "2024-01-01", True, "native", 1), ("84-рс", "news", "2024-01-01", True, "ocr", 1)]
+
+
+def test_reports(spark):
+    from quarrylight.operators import reports
+
+    tasks = spark.createDataFrame([(1, [{"d": 1}])], "id int, slices array<struct<d:int>>")
+    made = tasks.select("id", F.array(F.struct(F.lit(3).alias("done"), F.lit(5).alias("total")), F.lit(None)).alias("slices"))
+    r = reports.slice_progress(made).first()
+    assert (r.done, r.total) == (3, 5)
+    dpi = spark.range(1).select(reports.render_dpi(F.lit(None).cast("int"), F.lit(595.0), F.lit(842.0)).alias("a"), reports.render_dpi(F.lit(600), F.lit(595.0), F.lit(842.0)).alias("b"), reports.render_dpi(F.lit(300), F.lit(5950.0), F.lit(8420.0)).alias("c")).first()
+    assert (dpi.a, dpi.b) == (200, 287) and dpi.c < 200
