@@ -139,6 +139,11 @@ class _Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
+    def forget(self) -> None:
+        """Keep only words that came again: a worker lives on between tasks."""
+        self.known = {w: self.known[w] for w in self.again if w in self.known}
+        self.last = set()
+
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -185,7 +190,7 @@ class _Encoder:
         if self.blank("".join(distinct)):
             odd |= np.array([w != "\n" and self.blank(w) is not None for w in distinct])
         if len(self.known) > CACHE_PIECES:
-            self.known = {w: self.known[w] for w in self.again if w in self.known}
+            self.forget()
         known = self.known
         known["\n"] = self.line
         parts = list(map(known.get, distinct))
@@ -263,6 +268,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if ids:
             yield chunk()
             ids, parts = [], []
+        encoder.forget()
         C.release()
 
     # Ranges of doc_id with about as many rows each; (shards - 1) numbers come to the driver.
