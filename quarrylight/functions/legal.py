@@ -76,3 +76,9 @@ def labelled_value(c: Column, label: str) -> Column:
     line = F.try_element_at(lines, F.nullif(at, F.lit(0)))
     following = compact(F.try_element_at(lines, F.nullif(at, F.lit(0)) + 1))
     return F.when(at == 0, None).when(alone(line), F.when((following != "") & ~_label(following).isin(*RESERVED), following)).otherwise(compact(F.substring(line, len(want) + 2, 10_000)))
+
+
+def header_needs_ocr(c: Column) -> Column:
+    """A kind of act at the top, but no number and possible date beside it."""
+    kind_pattern = "(?iu)" + _EDGE + "(" + "|".join(KINDS) + ")" + _END
+    return F.rlike(F.substring(compact(c), 1, 1200), F.lit(kind_pattern)) & ~header_reliable(c)

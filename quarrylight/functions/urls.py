@@ -225,3 +225,44 @@ def reindex_category(url: Column) -> Column:
     c = F.when(url.isNull(), F.lit(None)).when(at("/press-sluzhba/novosti/"), "news").when(at("/gorodskaya-vlast/normativno-pravovyye-akty/"), "legal").when(at("/press-sluzhba/obyavleniya/"), "announcement").when(at("/press-sluzhba/mediagalereya", "/press-sluzhba/mediagalareya"), "media")
     c = c.when(at("/upload/"), "file").when(at("/press-sluzhba/"), "press").when(at("/gorodskaya-vlast/"), "city_authority").when(at("/zhizn-goroda/"), "city_life").when(at("/gorod/"), "city")
     return c.when(at("/afisha-goroda/", "/kalendar-meropriyatiy/"), "events").when(at("/content/", "/contents/", "/strucrure_sochi/"), "legacy").otherwise("other")
+
+
+# Sections of which another page is fetched.
+FETCH_INSTEAD = {"/press-sluzhba/": "/press-sluzhba/novosti/", "/gorod/": "/gorod/obshchaya-informatsiya/gorod-sobytiye/", "/gorodskaya-vlast/": "/gorodskaya-vlast/administratsiya-goroda/structure/"}
+
+
+def fetch_url(url: Column, allowed: str) -> Column:
+    """What is requested for a page: https, the canonical host, and for three sections another path."""
+    p = F.regexp_replace(F.when(path(url) == "", "/").otherwise(path(url)), "/{2,}", "/")
+    other = F.try_element_at(F.create_map(*[F.lit(x) for kv in FETCH_INSTEAD.items() for x in kv]), p)
+    q = query(url)
+    return F.concat(F.lit(f"https://{allowed}"), F.coalesce(other, p), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+
+
+def request_url(doc_type: Column, url: Column, file_url: Column, page_url: Column) -> Column:
+    """Files are fetched by their file URL; else the row's own URL, or what there is."""
+    some = lambda c: F.nullif(F.trim(text_or_empty(c)), F.lit(""))
+    return F.coalesce(F.when(F.lower(text_or_empty(doc_type)).isin("pdf", "file"), some(file_url)), some(url), some(file_url), some(page_url), F.lit(""))
+
+
+def suspicious(url: Column, allowed: str) -> Column:
+    """Why a candidate looks wrong; null if it doesn't."""
+    low, p = F.lower(text_or_empty(url)), F.lower(path(url))
+    odd = F.lit(False)
+    for s in ("/./", "/../", "tel:", "mailto:", "javascript:"):
+        odd = odd | F.contains(low, F.lit(s))
+    found = F.when(scheme(url) != "https", "неверная схема").when(host(url) != allowed, "чужой хост").when(odd, "служебный или ненормализованный путь")
+    return found.when(F.rlike(p, F.lit("^/(https?|ftp):/")), "вложенная схема в пути").when(is_pagination(url), "пагинация попала в кандидаты")
+
+
+def publication_kind(url: Column) -> Column:
+    """news or announcement for their item pages; else null."""
+    p = F.lower(path(url))
+    return F.when(F.rlike(p, F.lit(r"^/press-sluzhba/novosti/\d+/\d+/?$")), "news").when(F.rlike(p, F.lit(r"^/press-sluzhba/obyavleniya/\d+/?$")), "announcement")
+
+
+def attachment_url(url: Column, allowed: str) -> Column:
+    """An absolute link to an attachment: http, no www, no fragment; null for other hosts."""
+    h = F.when(host(url) == "www." + allowed, F.lit(allowed)).otherwise(host(url))
+    p, q = F.when(path(url) == "", "/").otherwise(path(url)), query(url)
+    return F.when(host_allowed(F.trim(url), allowed), F.concat(F.lit("http://"), h, p, F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))

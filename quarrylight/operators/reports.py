@@ -88,3 +88,24 @@ def manifest_differences(manifest: DataFrame, files: DataFrame) -> DataFrame:
 def expired(archives: DataFrame, keep: int) -> DataFrame:
     """Archives (name) beyond the newest `keep`."""
     return archives.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("name")))).where(F.col("_n") > keep).drop("_n")
+
+
+def page_decision(blank, native_readable, ocr_text, ocr_readable, engine=None):
+    """Which text a page gets: blank, ocr, native or unreadable; without an engine the native text decides."""
+    native = F.when(native_readable, "native")
+    found = F.when(blank, F.coalesce(native, F.lit("blank"))).when((F.coalesce(ocr_text, F.lit("")) != "") & ocr_readable, "ocr").otherwise(F.coalesce(native, F.lit("unreadable")))
+    return found if engine is None else F.when(~engine, F.coalesce(native, F.lit("unreadable"))).otherwise(found)
+
+
+def best_rotation(attempts: DataFrame, by: str, enough: int = 78) -> DataFrame:
+    """The former rule: attempts until one scores enough; then acceptable before not, higher score, longer text, earlier."""
+    order = Window.partitionBy(by).orderBy("step")
+    done = F.max((F.col("score") >= enough).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    made = attempts.withColumn("_d", F.coalesce(done, F.lit(0))).where("_d = 0")
+    return made.groupBy(by).agg(F.max_by("step", F.struct("acceptable", "score", "length", -F.col("step"))).alias("step"))
+
+
+def page_order(n: int, first: tuple[int, ...] = ()) -> list[int]:
+    """Pages 1 to n, the wanted ones first."""
+    wanted = [p for p in dict.fromkeys(first) if 1 <= p <= n]
+    return wanted + [p for p in range(1, n + 1) if p not in wanted]

@@ -203,3 +203,22 @@ def close_legacy(state: DataFrame, is_legacy: Column) -> DataFrame:
         if c in state.columns:
             out = out.withColumn(c, F.when(F.col("_l"), v).otherwise(F.col(c)))
     return out.drop("_l")
+
+
+def publish_dates(chunks: DataFrame, dates: DataFrame) -> DataFrame:
+    """Set published_at on all chunks of a URL in `dates` (url, published_at); acts keep their own date for sorting."""
+    new = dates.select(F.col("url").alias("_url"), F.col("published_at").alias("_at"))
+    joined = chunks.join(new, F.col("url") == F.col("_url"), "left")
+    act = F.nullif(F.col("document_date"), F.lit(""))
+    there = F.col("_url").isNotNull()
+    return joined.withColumns({"sort_date": F.when(there, F.coalesce(act, F.col("_at"))).otherwise(F.col("sort_date")), "published_at": F.when(there, F.col("_at")).otherwise(F.col("published_at"))}).drop("_url", "_at")
+
+
+def reset_status(queue: DataFrame, status: str, *, now: str) -> DataFrame:
+    """Rows of a status are tried again from the start."""
+    chosen = F.col("_c")
+    out = queue.withColumn("_c", F.col("status") == status)
+    for c, v in (("attempts", F.lit(0)), ("last_error", F.lit(None)), ("locked_at", F.lit(None)), ("locked_by", F.lit(None)), ("updated_at", F.lit(now)), ("status", F.lit("retry"))):
+        if c in queue.columns:
+            out = out.withColumn(c, F.when(chosen, v).otherwise(F.col(c)))
+    return out.drop("_c")

@@ -335,6 +335,37 @@ def q_labelled(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, "id int, v string", *_LABELS).select("id", legal.labelled_value(F.col("v"), "Номер документа").alias("value"))
 
 
+_ODD = [(1, "https://city.example/a"), (2, "http://city.example/a"), (3, "https://m.city.example/a"), (4, "https://city.example/a/../b"), (5, "https://city.example/https:/x"), (6, "https://city.example/list?page=2"), (7, "https://city.example/press-sluzhba/novosti/1/2/"), (8, "https://www.city.example/press-sluzhba/"), (9, "ftp://city.example/x")]
+_ODD_WANT = [(1, None, None, "https://city.example/a", "http://city.example/a"), (2, "неверная схема", None, "https://city.example/a", "http://city.example/a"), (3, "чужой хост", None, "https://city.example/a", "http://m.city.example/a"), (4, "служебный или ненормализованный путь", None, "https://city.example/a/../b", "http://city.example/a/../b"), (5, "вложенная схема в пути", None, "https://city.example/https:/x", "http://city.example/https:/x"), (6, "пагинация попала в кандидаты", None, "https://city.example/list?page=2", "http://city.example/list?page=2"), (7, None, "news", "https://city.example/press-sluzhba/novosti/1/2/", "http://city.example/press-sluzhba/novosti/1/2/"), (8, "чужой хост", None, "https://city.example/press-sluzhba/novosti/", "http://city.example/press-sluzhba/"), (9, "неверная схема", None, "https://city.example/x", None)]
+
+
+def q_url_checks(spark: SparkSession, d: str) -> DataFrame:
+    u = F.col("url")
+    return _rows(spark, "id int, url string", *_ODD).select("id", urls.suspicious(u, "city.example").alias("odd"), urls.publication_kind(u).alias("kind"), urls.fetch_url(u, "city.example").alias("request"), urls.attachment_url(u, "city.example").alias("attachment"))
+
+
+def q_publish_dates(spark: SparkSession, d: str) -> DataFrame:
+    lines = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("url"), "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 3 == 0, F.lit("act")).when(F.col("l_linenumber") % 3 == 1, F.lit("")).alias("document_date"), F.lit("old").alias("sort_date"), F.lit(None).cast("string").alias("published_at"))
+    dates = _t(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("url"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("published_at"))
+    return state.publish_dates(lines, dates)
+
+
+def q_reset_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.col("o_orderstatus").alias("status"), F.lit(4).alias("attempts"), F.lit("e").alias("last_error"))
+    return state.reset_status(rows, "F", now="now")
+
+
+def q_page_decision(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") < 10).alias("blank"), (F.col("l_partkey") % 2 == 0).alias("native"), F.when(F.col("l_suppkey") % 3 != 0, "x").alias("text"), (F.col("l_suppkey") % 2 == 0).alias("good"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", reports.page_decision(F.col("blank"), F.col("native"), F.col("text"), F.col("good")).alias("method"))
+
+
+def q_best_rotation(spark: SparkSession, d: str) -> DataFrame:
+    step = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice", "l_partkey"))
+    attempts = _t(spark, d, "lineitem").select("l_orderkey", step.alias("step"), (F.col("l_quantity") > 25).alias("acceptable"), (F.col("l_quantity") + 40).alias("score"), "l_suppkey").withColumnRenamed("l_suppkey", "length")
+    return reports.best_rotation(attempts, "l_orderkey")
+
+
 def q_bfs(spark: SparkSession, d: str) -> DataFrame:
     from quarrylight.operators.discovery import reachable
 
@@ -385,5 +416,10 @@ ORACLE = {
     "q_chunk": _CHUNK,
     "q_legal": "SELECT * FROM " + _sql_rows("id, kind, number, date", *_ACT_WANT),
     "q_labelled": "SELECT * FROM " + _sql_rows("id, value", (1, "512-р"), (2, "620-р"), (3, None), (4, None), (5, None)),
+    "q_url_checks": "SELECT * FROM " + _sql_rows("id, odd, kind, request, attachment", *_ODD_WANT),
+    "q_publish_dates": "WITH l AS (SELECT l_orderkey AS url, l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN 'act' WHEN l_linenumber % 3 = 1 THEN '' END AS document_date FROM lineitem), d AS (SELECT o_orderkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS p FROM orders WHERE o_orderstatus = 'O') SELECT l.url, l_linenumber, l_partkey, document_date, CASE WHEN d.url IS NULL THEN 'old' WHEN document_date = 'act' THEN 'act' ELSE p END AS sort_date, p AS published_at FROM l LEFT JOIN d ON l.url = d.url",
+    "q_reset_status": "SELECT o_orderkey AS url, CASE WHEN o_orderstatus = 'F' THEN 'retry' ELSE o_orderstatus END AS status, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 4 END AS attempts, CASE WHEN o_orderstatus <> 'F' THEN 'e' END AS last_error FROM orders",
+    "q_page_decision": "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity < 10 THEN CASE WHEN l_partkey % 2 = 0 THEN 'native' ELSE 'blank' END WHEN l_suppkey % 3 <> 0 AND l_suppkey % 2 = 0 THEN 'ocr' WHEN l_partkey % 2 = 0 THEN 'native' ELSE 'unreadable' END AS method FROM lineitem",
+    "q_best_rotation": "WITH s AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey) AS INTEGER) AS step FROM lineitem), a AS (SELECT *, coalesce(max(CASE WHEN l_quantity + 40 >= 78 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM s) SELECT l_orderkey, arg_max(step, (l_quantity > 25, l_quantity, l_suppkey, -step)) AS step FROM a WHERE p = 0 GROUP BY 1",
     "q_bfs": "WITH RECURSIVE e AS (SELECT n_nationkey AS s, (n_nationkey * 2 + 1) % 25 AS t FROM nation UNION ALL SELECT n_nationkey, n_nationkey + 100 FROM nation), r AS (SELECT 0 AS u, 0 AS depth UNION SELECT t, depth + 1 FROM r JOIN e ON s = u WHERE depth < 4) SELECT CAST(u AS VARCHAR) AS url, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY u",
 }
