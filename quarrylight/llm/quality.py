@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -121,33 +121,29 @@ def discounts(counts: DataFrame) -> DataFrame:
 
 
 def probabilities(asked: DataFrame) -> DataFrame:
-    """(gram, p) for every asked n-gram, from its trusted count n and those of the others.
+    """(gram, p) for every asked n-gram, from its trusted count n (0: not seen) and those of the others.
 
-    Order k works on (k bytes) keys; the lower orders count different left
+    Order k works on k-byte keys; the lower orders count different left
     neighbours.  p_k(w | h) = max(c(hw) - d, 0) / c(h) + gamma(h) p_{k-1}(w | h'),
-    and p_k = p_{k-1} where h was never seen.
+    and p_k = p_{k-1} where h was never seen.  A history h has at most 256 keys,
+    so sums over it are windows of a bounded size.
     """
-    wanted, seen = {ORDER: asked.select("gram")}, {ORDER: asked.where("n > 0").select("gram", "n")}
+    tables = {ORDER: asked.select("gram", "n")}
     for k in range(ORDER - 1, 0, -1):
-        mask = (1 << 8 * k) - 1
-        wanted[k] = wanted[k + 1].select(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).distinct()
-        seen[k] = seen[k + 1].groupBy(F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")
+        tables[k] = tables[k + 1].groupBy(shorter).agg(F.count_if(F.col("n") > 0).alias("n"))
     below = None
     for k in range(1, ORDER + 1):
-        history = F.shiftrightunsigned("gram", 8).alias("h")
-        ds = F.broadcast(discounts(seen[k]))
-        counted = seen[k].crossJoin(ds)
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        parts = counted.select("gram", "n", history, d.alias("d"))
-        ends = parts.groupBy("h").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"))
-        known = wanted[k].select("gram", history).join(parts.select("gram", "n", "d"), "gram", "left").join(ends, "h", "left")
+        d = F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = tables[k].crossJoin(F.broadcast(discounts(tables[k]))).select("gram", "n", d.alias("d"))
+        history = Window.partitionBy(F.shiftrightunsigned("gram", 8))
+        rows = rows.select("gram", "n", "d", F.sum("n").over(history).alias("total"), F.sum("d").over(history).alias("held"))
         lower = F.lit(1.0 / _BYTES)
         if below is not None:
-            known = known.withColumn("s", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "s")
+            rows = rows.withColumn("s", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(below, "s")
             lower = F.col("q")
-        own = F.coalesce(F.greatest(F.col("n") - F.col("d"), F.lit(0.0)), F.lit(0.0)) / F.col("total")
-        p = F.when(F.col("total").isNull(), lower).otherwise(own + F.col("gamma") * lower)
-        table = known.select("gram", p.alias("p"))
+        own = F.greatest(F.col("n") - F.col("d"), F.lit(0.0))
+        table = rows.select("gram", F.when(F.col("total") == 0, lower).otherwise((own + F.col("held") * lower) / F.col("total")).alias("p"))
         below = table.select(F.col("gram").alias("s"), F.col("p").alias("q"))
     return table
 
