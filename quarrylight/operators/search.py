@@ -16,7 +16,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.analysis import exact_terms, number_terms
@@ -72,12 +72,14 @@ class Index:
 
 def build_index(chunks: DataFrame) -> Index:
     fields = [f for f in FIELDS if f in chunks.columns]
-    tokens = None
+    tokens = lengths = None
     for f in fields:
-        part = chunks.select("chunk_id", F.lit(f).alias("field"), F.posexplode(exact_terms(F.col(f))).alias("position", "term"))
-        tokens = part if tokens is None else tokens.unionByName(part)
+        terms = exact_terms(F.col(f))
+        part = chunks.select("chunk_id", F.lit(f).alias("field"), F.posexplode(terms).alias("position", "term"))
+        size = chunks.select("chunk_id", F.lit(f).alias("field"), F.size(terms).alias("len")).where("len > 0")  # no shuffle
+        tokens, lengths = (part, size) if tokens is None else (tokens.unionByName(part), lengths.unionByName(size))
     postings = tokens.groupBy("field", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return Index(chunks, postings, tokens.groupBy("field", "chunk_id").agg(F.count(F.lit(1)).alias("len")), fields)
+    return Index(chunks, postings, lengths, fields)
 
 
 def _lengths(index: Index) -> DataFrame:
@@ -244,3 +246,27 @@ def check_options(raw: str, *, sort: str = "relevance", limit: int = 10, offset:
         raise ValueError("limit is 1 to 50, offset 0 to 9000")
     if date_from and date_to and date_from > date_to:
         raise ValueError("date_from is after date_to")
+
+
+def publish(index: Index, folder: str, version: str) -> None:
+    """Write an index under a version and make it current; postings are sorted by term, so that a query's scan is pruned.
+
+    The pointer is a table that only grows: its last row is current, and going
+    back is one more row.
+    """
+    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{version}/postings")
+    index.lengths.write.mode("overwrite").parquet(f"{folder}/{version}/lengths")
+    index.chunks.write.mode("overwrite").parquet(f"{folder}/{version}/chunks")
+    point_to(index.chunks.sparkSession, folder, version)
+
+
+def point_to(spark: SparkSession, folder: str, version: str) -> None:
+    rows = spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp())
+    rows.coalesce(1).write.mode("append").parquet(f"{folder}/pointer")
+
+
+def current(spark: SparkSession, folder: str) -> Index:
+    version = spark.read.parquet(f"{folder}/pointer").agg(F.max_by("version", "at")).first()[0]
+    part = lambda name: spark.read.parquet(f"{folder}/{version}/{name}")
+    chunks = part("chunks")
+    return Index(chunks, part("postings"), part("lengths"), [f for f in FIELDS if f in chunks.columns])

@@ -71,3 +71,12 @@ def test_analyzers(spark):
     assert r.e == ["512", "р", "постановления", "елка"] and r.n == ["512", "р", "512р"]
     assert russian_stem("постановления") == russian_stem("постановление") == "постановлен"
     assert [russian_stem(w) for w in ("важный", "важная", "книги", "книга", "читать", "красивейший", "к")] == ["важн", "важн", "книг", "книг", "чита", "красив", "к"]
+
+
+def test_published_versions(spark, index, tmp_path):
+    S.publish(index, str(tmp_path), "v1")
+    small = S.build_index(index.chunks.where("chunk_id = 'b'"))
+    S.publish(small, str(tmp_path), "v2")
+    assert S.current(spark, str(tmp_path)).chunks.count() == 1
+    S.point_to(spark, str(tmp_path), "v1")
+    assert urls(S.search(S.current(spark, str(tmp_path)), "субсидии")) == ["act-512"]
