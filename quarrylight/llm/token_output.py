@@ -129,9 +129,8 @@ class _Encoder:
         self.model = self.tokenizer.model
         #: Ids of words; a word at the start of a line stands with FIRST before it.
         self.known: dict[str, bytes] = {}
-        #: Words that the last two inputs had and that were known before: these stay when there are too many.
-        self.again: set[str] = set()
-        self.last: set[str] = set()
+        #: The last two inputs: their distinct words, and the places of those that were new.
+        self.recent: list[tuple[list[str], list[int]]] = []
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -140,9 +139,12 @@ class _Encoder:
         return cls.held[path]
 
     def forget(self) -> None:
-        """Keep only words that came again: a worker lives on between tasks."""
-        self.known = {w: self.known[w] for w in self.again if w in self.known}
-        self.last = set()
+        """Keep only words of the last two inputs that were known before: a worker lives on between tasks."""
+        kept: dict[str, bytes] = {}
+        for distinct, missing in self.recent:
+            new = set(missing)
+            kept.update((w, self.known[w]) for k, w in enumerate(distinct) if k not in new and w in self.known)
+        self.known = kept if len(kept) < CACHE_PIECES // 2 else {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -151,23 +153,27 @@ class _Encoder:
         """Ids of new words, which hold no white space.
 
         A final full stop or comma after a letter or digit is a token run of its
-        own, so such a word is its stem and that mark.  Stems are encoded as the
-        ready pieces of one input, which keeps the piece of every id.
+        own, so such a word is its stem and that mark.  A word of letters is one
+        piece for the pattern: it goes straight to the model, as the model sees
+        bytes.  Other words are encoded as the ready pieces of one input, which
+        keeps the piece of every id.
         """
-        known = self.known
-        ended = [w for w in words if w[-1] in ".," and len(w) > 1 and w[-2].isalnum()]
-        stems = [w for w in {*words}.difference(ended).union(w[:-1] for w in ended) if w not in known]
+        known, tokenize, blank, rest, ended = self.known, self.model.tokenize, _SHOWN[32], [], []
         k = self.dtype().itemsize
-        tokenize, code, blank, rest = self.model.tokenize, "H" if k == 2 else "I", _SHOWN[32], []
-        for w in stems:
+        code = "H" if k == 2 else "I"
+        for w in words:
+            if w[-1] in ".," and len(w) > 1 and w[-2].isalnum():
+                ended.append(w)
+                w = w[:-1]
+                if w in known:
+                    continue
             first = w[0] == FIRST
             core = w[1:] if first else w
-            if not core.isalpha():
+            if core.isalpha():
+                shown = core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)
+                known[w] = array(code, [x.id for x in tokenize(shown if first else blank + shown)]).tobytes()
+            else:
                 rest.append(w)
-                continue
-            # One piece for the pattern: straight to the model, as it sees the bytes.
-            shown = core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)
-            known[w] = array(code, [x.id for x in tokenize(shown if first else blank + shown)]).tobytes()
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             found = self.tokenizer.encode([w[1:] if w[0] == FIRST else " " + w for w in part], is_pretokenized=True, add_special_tokens=False)
@@ -186,22 +192,21 @@ class _Encoder:
         words = lists.flatten().dictionary_encode()
         distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy()
         ends = lists.offsets.to_numpy()
-        odd = np.array([w != "\n" and (not w.removeprefix(FIRST) or w.isspace()) for w in distinct])
-        if self.blank("".join(distinct)):
-            odd |= np.array([w != "\n" and self.blank(w) is not None for w in distinct])
         if len(self.known) > CACHE_PIECES:
             self.forget()
         known = self.known
         known["\n"] = self.line
         parts = list(map(known.get, distinct))
         missing = [k for k, p in enumerate(parts) if p is None]
-        again = {w for w, p in zip(distinct, parts) if p is not None}
-        self.again = again | self.last if len(again) < CACHE_PIECES // 4 else again
-        self.last = again
+        self.recent = [*self.recent[-1:], (distinct, missing)]
+        # Where white space stands together a word is empty or holds some: such texts aren't put together.
+        spaced = self.blank("".join([distinct[k] for k in missing])) is not None
+        odd = np.zeros(len(distinct), bool)
+        odd[[k for k in missing if distinct[k] in ("", FIRST) or spaced and self.blank(distinct[k])]] = True
         self.learn([distinct[k] for k in missing if not odd[k]])
         for k in missing:
             parts[k] = b"" if odd[k] else known[distinct[k]]
-        pool, sizes = np.frombuffer(b"".join(parts), self.dtype), np.array([len(p) for p in parts], np.int64) // self.dtype().itemsize
+        pool, sizes = np.frombuffer(b"".join(parts), self.dtype), np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype().itemsize
         begins = np.cumsum(sizes) - sizes
         size = sizes[index]
         at = np.cumsum(size)
@@ -213,16 +218,6 @@ class _Encoder:
         return [np.frombuffer(next(rest), self.dtype) if w else ids[a:b] for w, a, b in zip(whole, cuts.tolist(), cuts[1:].tolist())]
 
 
-def _squeeze(bounds: np.ndarray):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).fill_null(C.NULL_ID).to_numpy()
-            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(bounds, ids, side="left"), pa.int32()), pa.array(ids), pa.array([C.compress(t or b"") for t in texts], pa.binary())], ["shard", "doc_id", "squeezed"])
-
-    return run
-
-
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0) -> None:
     """Encode every text, end each document with end_id and write the ids in ascending doc_id order.
 
@@ -251,8 +246,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
         for batch in batches:
             begin, held, n = 0, [], 0
-            for k, squeezed in enumerate(batch.column(1).to_pylist(), 1):
-                held.append(C.decompress(squeezed).decode())
+            for k, text in enumerate(batch.column(1).to_pylist(), 1):
+                held.append(text)
                 n += len(held[-1])
                 if k < batch.num_rows and n < TOGETHER:
                     continue
@@ -271,14 +266,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         encoder.forget()
         C.release()
 
-    # Ranges of doc_id with about as many rows each; (shards - 1) numbers come to the driver.
-    bounds = np.array([], np.int64)
-    if shards > 1:
-        at = [k / shards for k in range(1, shards)]
-        found = docs.agg(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)), at, max(10_000, 4 * shards))).first()[0]
-        bounds = np.unique(np.array(found or [], np.int64))
-    squeezed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_squeeze(bounds), "shard int, doc_id long, squeezed binary")
-    ordered = squeezed.repartitionById(shards, "shard").sortWithinPartitions("doc_id", "squeezed").select("doc_id", "squeezed")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, _CHUNK).write.parquet(f"{path}/chunks")
     spark = docs.sparkSession
     totals = spark.read.parquet(f"{path}/chunks").groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids")).orderBy("shard").collect()  # a row for each shard
