@@ -44,3 +44,28 @@ def describe(found: DataFrame, source: str) -> DataFrame:
     is_file = s.isin(*urls.FILE_SUFFIXES)
     kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in urls.CONTENT_TYPES.items() for x in kv]), s)
     return found.select("url", F.when(~is_file, F.col("url")).alias("page_url"), F.when(is_file, F.col("url")).alias("file_url"), F.lit(source).alias("source"), F.when(s == ".pdf", "pdf").when(is_file, "file").otherwise("page").alias("doc_type"), kind.alias("content_type"))
+
+
+def sitemap_pages(start: list[str], fetch, most_maps: int = 200, most_pages: int = 100_000) -> tuple[dict[str, str | None], list[str]]:
+    """(page: lastmod, errors) of sitemaps and those they name, each read once; the two limits are the crawl's.
+
+    `fetch` gives the bytes of a sitemap's URL; what it raises is an error of
+    that sitemap alone.  A driver-side walk: it follows a few small files.
+    """
+    from quarrylight.sources.formats import sitemap
+
+    todo, seen, pages, errors = list(start), set(start), {}, []
+    read = 0
+    while todo and read < most_maps and len(pages) < most_pages:
+        url = todo.pop(0)
+        read += 1
+        try:
+            maps, found = sitemap(fetch(url))
+        except Exception as e:
+            errors.append(f"{url}: {e}")
+            continue
+        todo += [m for m in maps if m not in seen]
+        seen.update(maps)
+        for page, modified in found[: most_pages - len(pages)]:
+            pages.setdefault(page, modified)
+    return pages, errors

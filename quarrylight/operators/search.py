@@ -29,6 +29,7 @@ FUZZY_FIELDS = ("title", "attachment_title", "text")
 PHRASES = (("title", 12.0, 1), ("attachment_title", 10.0, 1), ("text", 6.0, 2))
 K1 = 1.2
 CATEGORIES = ("news", "legal", "announcement", "media", "file")
+# What a quoted phrase and a word with a minus are.
 _PHRASE = re.compile(r"[«\"“]([^«»\"“”]{2,120})[»\"”]")
 _MINUS = re.compile(r"(?:^|\s)[-−–—]([^\s\"«»]{2,60})")
 

@@ -157,3 +157,22 @@ def test_reports(spark):
     assert (r.done, r.total) == (3, 5)
     dpi = spark.range(1).select(reports.render_dpi(F.lit(None).cast("int"), F.lit(595.0), F.lit(842.0)).alias("a"), reports.render_dpi(F.lit(600), F.lit(595.0), F.lit(842.0)).alias("b"), reports.render_dpi(F.lit(300), F.lit(5950.0), F.lit(8420.0)).alias("c")).first()
     assert (dpi.a, dpi.b) == (200, 287) and dpi.c < 200
+
+
+def test_schema_gate(spark):
+    from quarrylight import schema
+
+    assert len(schema.CRAWL_URLS) == 36 and len(schema.CHUNKS) == 35
+    df = spark.createDataFrame([("u", "3")], "url string, page_number string")
+    got = schema.conform(df, schema.CHUNKS)
+    assert got.schema == schema.CHUNKS and got.first().page_number == 3
+    with pytest.raises(ValueError, match="unknown columns: x"):
+        schema.conform(df.withColumn("x", F.lit(1)), schema.CHUNKS)
+    assert schema.keywords(df.withColumn("url", F.repeat(F.lit("a"), 3000))).first().url_key is None
+
+
+def test_sitemap_walk():
+    site = {"a": b"<sitemapindex><sitemap><loc>b</loc></sitemap><sitemap><loc>a</loc></sitemap><sitemap><loc>gone</loc></sitemap></sitemapindex>", "b": b"<urlset><url><loc>p</loc></url><url><loc>q</loc></url></urlset>"}
+    pages, errors = discovery.sitemap_pages(["a"], site.__getitem__)
+    assert pages == {"p": None, "q": None} and len(errors) == 1
+    assert len(discovery.sitemap_pages(["a"], site.__getitem__, most_pages=1)[0]) == 1
