@@ -20,6 +20,7 @@ of the chunk's code; no table of 64-bit offsets is kept.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -42,7 +43,7 @@ CHUNK_IDS = 1 << 20
 #: Pieces of text that a worker remembers the ids of; then it starts afresh.
 CACHE_PIECES = 500_000
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 16 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 _CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"
@@ -186,6 +187,15 @@ class _Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        collects = gc.isenabled()
+        gc.disable()  # many small objects and no cycles: collecting would walk all remembered words again and again
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         whole = np.array([not t or FIRST in t or any(x in t for x in self.special) for t in texts]) if self.by_word else np.ones(len(texts), bool)
         marked = pa.array(["" if skip else FIRST + t for t, skip in zip(texts, whole)], pa.large_string())
         lists = pc.split_pattern(pc.replace_substring(marked, "\n", f" \n {FIRST}"), " ")
