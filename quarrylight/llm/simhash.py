@@ -153,9 +153,11 @@ def _link(most: int):
 
 
 def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """doc_id, key, fp (long) and component_id for each row; documents link at `distance` (at most 2) or fewer differing bits.
+    """doc_id, key, fp (long), component_id and label for each row; documents link at `distance` (at most 2) or fewer differing bits.
 
-    key is a hash of doc_id and text: it tells rows with one doc_id apart.
+    key is a hash of doc_id and text: it tells rows with one doc_id apart.  label
+    (a fingerprint) tells components apart; component_id doesn't where ids are
+    null or shared.
     """
     if not 0 <= distance <= 2:
         raise ValueError("the grid of radius 1 finds distances up to 2")
@@ -168,15 +170,15 @@ def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
     labels = components(links).withColumnRenamed("node", "fp")
     firsts = distinct.join(labels, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     low = firsts.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = firsts.join(low, "label").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "key", "fp", "component_id")
+    classes = firsts.join(low, "label").select("fp", "component_id", "label")
+    return prints.join(classes, "fp").select("doc_id", "key", "fp", "component_id", "label")
 
 
 def first_of_each(docs: DataFrame, distance: int = 2) -> DataFrame:
     """The rows of docs without near-duplicates: of each component the row with the smallest doc_id stays."""
     found = simhash_components(docs, distance)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    stay = found.groupBy("component_id").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_k"))
+    stay = found.groupBy("label").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_k"))
     keyed = docs.withColumn("_key", row_key()).join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
     once = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(1)))).where("_nth = 1")
     return once.select(*[F.col(f"`{c}`") for c in docs.columns])
