@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions.analysis import exact_terms, number_terms
-from quarrylight.functions.repair import document_number
+from quarrylight.functions.repair import document_number, looks_like_number
 from quarrylight.functions.text import text_or_empty
 
 #: Weights and length normalisation (b of BM25) of the fields that a query searches.
 FIELDS = {"title": (4.0, 0.75), "attachment_title": (3.0, 0.75), "text": (1.0, 0.4), "section": (0.5, 0.0), "document_kind": (2.0, 0.75)}
 FUZZY_FIELDS = ("title", "attachment_title", "text")
 PHRASES = (("title", 12.0, 1), ("attachment_title", 10.0, 1), ("text", 6.0, 2))
+NUMBER_SCORES = (40.0, 32.0, 24.0)
 K1 = 1.2
 CATEGORIES = ("news", "legal", "announcement", "media", "file")
 # What a quoted phrase and a word with a minus are.
@@ -125,12 +126,26 @@ def has_all(chunks: DataFrame, text: str, fields: tuple[str, ...] = FUZZY_FIELDS
     return out
 
 
-def number_matches(chunks: DataFrame, value: str) -> Column:
+def number_clauses(value: str) -> tuple[Column, Column, Column]:
     """The canonical number, the number as stored, or all of its parts."""
     want = document_number(F.lit(value))
     parts = number_terms(F.replace(want, F.lit("-"), F.lit("")))
     own = number_terms(F.col("document_number"))
-    return (document_number(F.col("document_number")) == want) | (F.lower(F.trim(text_or_empty(F.col("document_number")))) == want) | ((F.size(parts) > 0) & F.forall(parts, lambda p: F.array_contains(own, p)))
+    return document_number(F.col("document_number")) == want, F.lower(F.trim(text_or_empty(F.col("document_number")))) == want, (F.size(parts) > 0) & F.forall(parts, lambda p: F.array_contains(own, p))
+
+
+def number_matches(chunks: DataFrame, value: str) -> Column:
+    canonical, stored, parts = number_clauses(value)
+    return canonical | stored | parts
+
+
+def add_number_scores(chunks: DataFrame, raw: str) -> DataFrame:
+    """A query that looks like an act number ranks chunks that have it: constant scores for each clause."""
+    if "document_number" not in chunks.columns:
+        return chunks
+    asked = looks_like_number(F.lit(raw)) & (document_number(F.lit(raw)) != "")
+    more = [F.when(asked & c, w).otherwise(0.0) for c, w in zip(number_clauses(raw), NUMBER_SCORES)]
+    return chunks.withColumn("score", F.col("score") + more[0] + more[1] + more[2])
 
 
 def filters(chunks: DataFrame, *, number: str | None = None, kind: str | None = None, date_from: str | None = None, date_to: str | None = None, doc_type: str | None = None, attachment: bool | None = None) -> DataFrame:
@@ -162,16 +177,16 @@ def run_query(index: Index, raw: str, **how) -> DataFrame:
     for word in q.excluded:
         chunks = chunks.where(~has_all(chunks, word))
     if not q.text:
-        return chunks.withColumn("score", F.lit(0.0))
+        return add_number_scores(chunks.withColumn("score", F.lit(0.0)), raw)
     if q.phrases:  # free words beside a phrase only rank
         scored = match_terms(index, q.text, least=1).withColumn("score", 2 * F.col("score"))
-        return chunks.join(scored, "chunk_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        return add_number_scores(chunks.join(scored, "chunk_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), raw)
     out = chunks.join(match_terms(index, q.text), "chunk_id")
     if not q.excluded:
         for f, boost, slop in PHRASES:
             if f in texts:
                 out = out.withColumn("score", F.col("score") + F.when(has_phrase(F.col(f), q.text, slop), boost).otherwise(0.0))
-    return out
+    return add_number_scores(out, raw)
 
 
 def near_words(postings: DataFrame, term: str, most: int = 24) -> DataFrame:

@@ -80,3 +80,15 @@ def test_published_versions(spark, index, tmp_path):
     assert S.current(spark, str(tmp_path)).chunks.count() == 1
     S.point_to(spark, str(tmp_path), "v1")
     assert urls(S.search(S.current(spark, str(tmp_path)), "субсидии")) == ["act-512"]
+
+
+def test_number_clauses_rank(spark):
+    rows = [("n1", "u/n1", "Акт", "о парке 512-р", None), ("n2", "u/n2", "Акт", "512-р 512-р 512-р", "77-р"), ("n3", "u/n3", "Акт", "номер 512-р в длинном тексте о парке", "512-р"), ("n4", "u/n4", "Акт", "номер 512-р в тексте", "N 512 - Р")]
+    numbered = S.build_index(spark.createDataFrame(rows, "chunk_id string, url string, title string, text string, document_number string"))
+    plain = S.build_index(numbered.chunks.drop("document_number"))
+    for raw in ("512-р", "№512-р"):
+        base = {r.chunk_id: r.score for r in S.run_query(plain, raw).collect()}
+        more = {r.chunk_id: round(r.score - base[r.chunk_id], 6) for r in S.run_query(numbered, raw).collect()}
+        assert more["n1"] == more["n2"] == 0 and more["n3"] == 40 + 32 + 24 and more["n4"] >= 40
+    same = lambda i: {r.chunk_id: r.score for r in S.run_query(i, "парке").collect()}
+    assert same(numbered) == same(plain)
