@@ -8,6 +8,7 @@ hold; a lost task is simply run again):
     base long              ids of this shard before the chunk
     n_docs int, n_ids long
     width int              bytes of an id, 2 or 4
+    first long, last long  the smallest and the largest doc_id, by which a look-up prunes
     ids binary             the ids, little-endian
     doc_ids binary         ascending doc_id, as differences in byte planes
     low_bits int, low binary, high binary, samples binary
@@ -15,7 +16,9 @@ hold; a lost task is simply run again):
 ``shards``  shard int, start long, n_docs long, n_ids long: where each shard starts
 
 The start of a document is the shard's start + the chunk's base + select(k - 1)
-of the chunk's code; no table of 64-bit offsets is kept.
+of the chunk's code; no table of 64-bit offsets is kept.  `read_documents` looks
+documents up so: it reads the chunks that may hold them and selects two ends of
+each, the others stay coded.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _common as C
@@ -40,13 +43,13 @@ from . import _common as C
 FIRST = "\x01"
 #: Ids after which a chunk ends.
 CHUNK_IDS = 1 << 20
-#: Pieces of text that a worker remembers the ids of; then it starts afresh.
-CACHE_PIECES = 500_000
+#: Words that a worker remembers the ids of.
+CACHE_PIECES = 400_000
 #: Bytes of text that are encoded together.
 TOGETHER = 16 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
-_CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"
+_CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, first long, last long, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"
 
 
 class EliasFano:
@@ -111,6 +114,10 @@ class _Encoder:
     the same ids for a text as for its blank-separated words one by one, if no
     two white-space characters stand together and no special token occurs; such
     texts are put together from words.  All others go to the tokenizer whole.
+
+    A worker lives on between tasks and remembers words that come again within an
+    input; most words of a long tail come once, and remembering costs more than
+    their ids do.
     """
 
     held: dict[str, _Encoder] = {}
@@ -127,11 +134,12 @@ class _Encoder:
         self.line = self.raw(["\n"])[0]
         self.by_word = self.tokenizer.normalizer is None and isinstance(pre, ByteLevel) and not pre.add_prefix_space and pre.use_regex and len(self.line) == self.dtype().itemsize
         self.blank = re.compile(r"\s").search
+        self.ended = re.compile(r"(.*[^\W_])([^\w\s]+)", re.S).fullmatch
         self.model = self.tokenizer.model
-        #: Ids of words; a word at the start of a line stands with FIRST before it.
-        self.known: dict[str, bytes] = {}
-        #: The last two inputs: their distinct words, and the places of those that were new.
-        self.recent: list[tuple[list[str], list[int]]] = []
+        #: Ids of remembered words; a word at the start of a line stands with FIRST before it.
+        self.known: dict[str, bytes] = {"\n": self.line}
+        #: Ids of runs of marks that follow a letter or digit.
+        self.marks: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> _Encoder:
@@ -139,56 +147,60 @@ class _Encoder:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def forget(self) -> None:
-        """Keep only words of the last two inputs that were known before: a worker lives on between tasks."""
-        kept: dict[str, bytes] = {}
-        for distinct, missing in self.recent:
-            new = set(missing)
-            kept.update((w, self.known[w]) for k, w in enumerate(distinct) if k not in new and w in self.known)
-        self.known = kept if len(kept) < CACHE_PIECES // 2 else {}
-
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> list[bytes]:
         """Ids of new words, which hold no white space.
 
-        A final full stop or comma after a letter or digit is a token run of its
-        own, so such a word is its stem and that mark.  A word of letters is one
-        piece for the pattern: it goes straight to the model, as the model sees
-        bytes.  Other words are encoded as the ready pieces of one input, which
-        keeps the piece of every id.
+        Marks at a word's end, after a letter or digit, are a piece of their own,
+        so such a word is its stem and the marks.  A word of letters is one piece
+        for the pattern: it goes straight to the model, as the model sees bytes.
+        Other words are encoded as the ready pieces of one input, which keeps the
+        piece of every id.
         """
-        known, tokenize, blank, rest, ended = self.known, self.model.tokenize, _SHOWN[32], [], []
+        known, stems, marks, tokenize, blank, ended = self.known, {}, self.marks, self.model.tokenize, _SHOWN[32], self.ended
         k = self.dtype().itemsize
         code = "H" if k == 2 else "I"
+        out: list[bytes] = []
+        rest: list[tuple[int, str, bytes]] = []
         for w in words:
-            if w[-1] in ".," and len(w) > 1 and w[-2].isalnum():
-                ended.append(w)
-                w = w[:-1]
-                if w in known:
+            tail = b""
+            if not w[-1].isalnum() and (m := ended(w)):
+                w, mark = m.groups()
+                tail = marks.get(mark)
+                if tail is None:
+                    tail = marks[mark] = self.raw([mark])[0]
+                ids = known.get(w) or stems.get(w)
+                if ids:
+                    out.append(ids + tail)
                     continue
             first = w[0] == FIRST
             core = w[1:] if first else w
             if core.isalpha():
                 shown = core if core.isascii() else core.encode().decode("latin-1").translate(_SHOWN)
-                known[w] = array(code, [x.id for x in tokenize(shown if first else blank + shown)]).tobytes()
+                ids = array(code, [x.id for x in tokenize(shown if first else blank + shown)]).tobytes()
+                if tail:
+                    stems[w] = ids
+                out.append(ids + tail)
             else:
-                rest.append(w)
+                rest.append((len(out), core if first else " " + core, tail))
+                out.append(b"")
+        if len(marks) > CACHE_PIECES // 10:
+            marks.clear()
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
-            found = self.tokenizer.encode([w[1:] if w[0] == FIRST else " " + w for w in part], is_pretokenized=True, add_special_tokens=False)
+            found = self.tokenizer.encode([w for _, w, _ in part], is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, self.dtype).tobytes()
             ends = (k * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
-            known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        marks = dict(zip(".,", self.raw([".", ","])))
-        for w in ended:
-            known[w] = known[w[:-1]] + marks[w[-1]]
+            for (i, _, tail), a, b in zip(part, [0, *ends], ends):
+                out[i] = raw[a:b] + tail
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         collects = gc.isenabled()
-        gc.disable()  # many small objects and no cycles: collecting would walk all remembered words again and again
+        gc.disable()  # many small objects and no cycles
         try:
             return self._encode(texts)
         finally:
@@ -200,22 +212,23 @@ class _Encoder:
         marked = pa.array(["" if skip else FIRST + t for t, skip in zip(texts, whole)], pa.large_string())
         lists = pc.split_pattern(pc.replace_substring(marked, "\n", f" \n {FIRST}"), " ")
         words = lists.flatten().dictionary_encode()
-        distinct, index = words.dictionary.to_pylist(), words.indices.to_numpy()
-        ends = lists.offsets.to_numpy()
+        distinct, index, ends = words.dictionary.to_pylist(), words.indices.to_numpy(), lists.offsets.to_numpy()
         if len(self.known) > CACHE_PIECES:
-            self.forget()
-        known = self.known
-        known["\n"] = self.line
-        parts = list(map(known.get, distinct))
+            self.known = {w: self.known[w] for w in distinct if w in self.known} | {"\n": self.line}
+        parts = list(map(self.known.get, distinct))
         missing = [k for k, p in enumerate(parts) if p is None]
-        self.recent = [*self.recent[-1:], (distinct, missing)]
         # Where white space stands together a word is empty or holds some: such texts aren't put together.
         spaced = self.blank("".join([distinct[k] for k in missing])) is not None
         odd = np.zeros(len(distinct), bool)
         odd[[k for k in missing if distinct[k] in ("", FIRST) or spaced and self.blank(distinct[k])]] = True
-        self.learn([distinct[k] for k in missing if not odd[k]])
-        for k in missing:
-            parts[k] = b"" if odd[k] else known[distinct[k]]
+        fresh = [k for k in missing if not odd[k]] if odd.any() else missing
+        for k in np.flatnonzero(odd).tolist():
+            parts[k] = b""
+        again = (np.bincount(index, minlength=len(distinct)) > 1).tolist()
+        for k, ids in zip(fresh, self.learn([distinct[k] for k in fresh])):
+            parts[k] = ids
+            if again[k]:
+                self.known[distinct[k]] = ids
         pool, sizes = np.frombuffer(b"".join(parts), self.dtype), np.fromiter(map(len, parts), np.int64, len(parts)) // self.dtype().itemsize
         begins = np.cumsum(sizes) - sizes
         size = sizes[index]
@@ -232,7 +245,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     """Encode every text, end each document with end_id and write the ids in ascending doc_id order.
 
     Null texts are empty: such documents hold the end id alone.  Rows without a
-    doc_id come last; rows that share one are ordered by their text.  An empty
+    doc_id come last; rows that share one are ordered by a hash of their text.  An empty
     table gives files without rows.  Other columns are ignored.
     """
     _, n_bytes = C.shape_of(docs)
@@ -250,8 +263,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
             width = encoder.dtype().itemsize
             ends = np.cumsum([len(p) for p in parts])
             ef = EliasFano.build(ends)
-            row = (shard, seq, base, len(ids), int(ends[-1]), width, np.concatenate(parts).tobytes(), C.encode_sorted(np.array(ids, np.int64).astype(np.uint64)), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            row = (shard, seq, base, len(ids), int(ends[-1]), width, ids[0], ids[-1], np.concatenate(parts).tobytes(), C.encode_sorted(np.array(ids, np.int64).astype(np.uint64)), ef.low_bits, ef.low.tobytes(), ef.high.tobytes(), ef.samples.tobytes())
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], [x.split()[0] for x in _CHUNK.split(", ")])
 
         for batch in batches:
@@ -273,19 +286,22 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if ids:
             yield chunk()
             ids, parts = [], []
-        encoder.forget()
         C.release()
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    # One doc_id may have many rows: its text's hash and the place of the row split them, so that no range is above the others.
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), C.text_key().alias("key"), F.monotonically_increasing_id().alias("nth"))
+    ordered = rows.repartitionByRange(shards, "doc_id", "key", "nth").sortWithinPartitions("doc_id", "key", "nth").select("doc_id", "text")
     ordered.mapInArrow(run, _CHUNK).write.parquet(f"{path}/chunks")
-    spark = docs.sparkSession
-    totals = spark.read.parquet(f"{path}/chunks").groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids")).orderBy("shard").collect()  # a row for each shard
-    start, rows = 0, []
-    for t in totals:
-        rows.append((t["shard"], start, t["n_docs"], t["n_ids"]))
-        start += t["n_ids"]
-    spark.createDataFrame(rows, "shard int, start long, n_docs long, n_ids long").coalesce(1).write.parquet(f"{path}/shards")
+    shard_starts(docs.sparkSession.read.parquet(f"{path}/chunks")).write.parquet(f"{path}/shards")
+
+
+def shard_starts(chunks: DataFrame, together: int = 1024) -> DataFrame:
+    """shard, start, n_docs, n_ids: running sums within stretches of shards, and over the stretches' totals."""
+    totals = chunks.groupBy("shard").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_ids").alias("n_ids")).withColumn("stretch", F.floor(F.col("shard") / together))
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w), F.lit(0))
+    inner = totals.withColumn("inner", upto(Window.partitionBy("stretch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
+    outer = totals.groupBy("stretch").agg(F.sum("n_ids").alias("n_ids")).select("stretch", upto(Window.partitionBy(F.lit(0)).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("outer"))
+    return inner.join(outer, "stretch").select("shard", (F.col("inner") + F.col("outer")).alias("start"), "n_docs", "n_ids")
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -306,10 +322,31 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
                     columns.append(pa.ListArray.from_arrays(np.r_[starts, ends[-1:]].astype(np.int32), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    chunks = spark.read.parquet(f"{path}/chunks").drop("n_ids", "seq")
+    chunks = spark.read.parquet(f"{path}/chunks").drop("n_ids", "seq", "first", "last")
     return chunks.join(spark.read.parquet(f"{path}/shards").select("shard", "start"), "shard").mapInArrow(run, schema)
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, start and ids of a few documents: two selects for each, of the chunks that may hold them alone."""
+    wanted = sorted(set(doc_ids))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ef = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
+                docs = C.decode_sorted(row["doc_ids"]).astype(np.int64)
+                ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+                places = np.concatenate([np.arange(*np.searchsorted(docs, [i, i + 1])) for i in wanted]) if len(docs) else docs
+                ends = [(ef.select(k - 1) if k else 0, ef.select(k)) for k in places.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(docs[places]), pa.array([row["start"] + row["base"] + a for a, _ in ends], pa.int64()), pa.array([ids[a:b].astype(np.int32) for a, b in ends], pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
+
+    maybe = F.lit(False)
+    for i in wanted:
+        maybe = maybe | ((F.col("first") <= i) & (F.col("last") >= i))
+    chunks = spark.read.parquet(f"{path}/chunks").where(maybe).drop("n_ids", "seq", "first", "last")
+    return chunks.join(spark.read.parquet(f"{path}/shards").select("shard", "start"), "shard").mapInArrow(run, "doc_id long, start long, ids array<int>")
+
+
 def token_files_folder(spark: SparkSession) -> str:
     """A new folder for token files below the shared checkpoint folder."""
     import uuid
