@@ -8,12 +8,14 @@ reach the worst k-th score of the queries below the query node:
 
     <q, p> <= <cq, cp> + rq |cp| + rp |cq| + rq rp
 
-Queries come to the tasks in chunks of a bounded size; a task keeps the k best
+The data's trees are built once and written as blocks; queries come to the tasks
+in chunks of a bounded size, one chunk after another.  A task keeps the k best
 of each query over all the blocks it reads and sends k rows for each on, so the
 shuffle holds k rows for each query and task.
 
-Components are floor(256 * x), scores are exact integers while a score is below
-2**53.  Edge cases: vectors that are null or hold null or non-finite components
+Components are floor(256 * x), as doubles; scores are exact integers below 2**53,
+beyond that they are the double's value, held within the range of a long (0 where
+infinite parts cancel).  Edge cases: vectors that are null or hold null or non-finite components
 take no part, nor do rows without an id; shorter vectors count as padded with
 zeros; rows that share an id are one query (the first by its vector), are no
 candidates for it, and are candidates each for others; ties go to the smaller
@@ -22,6 +24,7 @@ id; fewer than k candidates are all returned; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -31,11 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _common as C
+
 #: Queries sent to the tasks at once, points in a data block, points in a leaf.
 QUERIES, BLOCK, LEAF = 16_384, 8_192, 64
 #: A child covers its points within this part of its parent's radius, unless a node would have more than MOST children.
 SHRINK, MOST = 0.6, 48
 
+#: Scores are held within this, which a long and a double both have.
+FARTHEST = 2.0**62
+
 
 @dataclass
 class Node:
@@ -60,7 +68,7 @@ class CoverTree:
         away = self._away(centre, points)
         radius = float(away.max())
         node = Node(self.vectors[centre], float(np.sqrt((self.vectors[centre] ** 2).sum())), radius * (1 + 1e-9) + 1e-6, points, [])
-        if len(points) <= LEAF or radius == 0:
+        if len(points) <= LEAF or radius == 0 or not np.isfinite(radius):
             return node
         near, owner, centres = away, np.zeros(len(points), np.int64), [centre]
         while near.max() > SHRINK * radius and len(centres) < MOST:  # separated centres, farthest first
@@ -108,7 +116,7 @@ def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best
         if most < best.score[q.points, -1].min():
             continue
         if not q.children and not p.children:
-            scores = queries.vectors[q.points] @ data.vectors[p.points].T
+            scores = np.clip(np.nan_to_num(queries.vectors[q.points] @ data.vectors[p.points].T, nan=0.0), -FARTHEST, FARTHEST)
             looked += scores.size
             best.offer(q.points, scores, ids[p.points])
             continue
@@ -122,7 +130,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v) with v the integer components as doubles, of the rows that take part."""
     x = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.where(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256).cast("double")).alias("v"))
+    whole = lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(c)  # noqa: E731  larger doubles are integers
+    return vectors.where(fine).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: whole(c * 256)).alias("v"))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -146,10 +155,19 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     once = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     shape = once.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
     width = max(int(shape["w"] or 0), int(data.agg(F.max(F.size("v"))).first()[0] or 0))
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([pickle.dumps(CoverTree(_matrix(part.column(1), width)), 5)], pa.binary())], ["ids", "tree"])
+
     chunks, found = max(1, -(-int(shape["n"]) // QUERIES)), None
+    blocks = data.mapInArrow(build, "ids binary, tree binary")
+    if chunks > 1:  # the data's trees are built once, whatever the number of passes
+        once, blocks = C.checkpoint(once), C.checkpoint(blocks)
     for c in range(chunks):
         rows = once.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").collect()  # about QUERIES rows
-        matrix = np.zeros((len(rows), width), np.int64)
+        matrix = np.zeros((len(rows), width))
         for r, row in enumerate(rows):
             matrix[r, : len(row["v"])] = row["v"]
         sent = spark.sparkContext.broadcast((uuid.uuid4().hex, np.array([r["vec_id"] for r in rows], np.int64), matrix))
@@ -158,17 +176,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             name, q_ids, q_matrix = sent.value
             if name not in _trees:
                 _trees.clear()
-                _trees[name] = CoverTree(q_matrix.astype(float))
+                _trees[name] = CoverTree(q_matrix)
             best = Best(q_ids, k)
             for batch in batches:
-                for at in range(0, batch.num_rows, BLOCK):
-                    part = batch.slice(at, BLOCK)
-                    block = _matrix(part.column(1), width)
-                    dual_search(_trees[name], CoverTree(block), part.column(0).to_numpy(zero_copy_only=False), best)
+                for ids, tree in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    dual_search(_trees[name], pickle.loads(tree), np.frombuffer(ids, np.int64), best)
             filled = np.isfinite(best.score)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, filled.sum(axis=1))), pa.array(best.id[filled]), pa.array(best.score[filled].astype(np.int64))], ["query_id", "vec_id", "score"])
 
-        part = data.mapInArrow(run, "query_id long, vec_id long, score long")
+        part = blocks.mapInArrow(run, "query_id long, vec_id long, score long")
+        if chunks > 1:  # one chunk of queries is held at a time
+            part = C.checkpoint(part)
+            sent.unpersist()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

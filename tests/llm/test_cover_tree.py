@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from quarrylight.llm import cover_tree
 from quarrylight.llm.cover_tree import Best, CoverTree, dual_search, top_k
 
 
@@ -36,6 +37,22 @@ def test_few_candidates_and_empty(spark):
     assert top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_query_chunks_agree(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    monkeypatch.setattr(cover_tree, "QUERIES", 4)
+    got = sorted(tuple(r) for r in top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
+    assert got == slow(rows, range(0, 700, 50), 5)
+
+
+def test_huge_components(spark):
+    rows = [(0, [1e300, 1.0]), (1, [1e300, 0.0]), (2, [-1e300, 0.0]), (3, [0.0, 1.0]), (4, [2.0**50, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r["rank"], r.score) for r in top_k(df, df.where("vec_id = 0")).collect()}
+    assert got[1][1] == 2**62 and got[2][1] == -(2**62) and got[3] == (3, 256 * 256) and [got[k][0] for k in (1, 4, 3, 2)] == [1, 2, 3, 4]
+
+
 def test_pairs_are_pruned():
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(40, 32)) * 100
