@@ -7,13 +7,17 @@ of this or another template survives inside them; reading back undoes it.
 Prefix sums of the turns' tokens choose the windows: room for new turns is the
 budget less the system turn and the history; turns that lie inside one stretch
 of that many tokens share a window, and a turn across the border of two
-stretches has a window of its own.  So no window is above the budget unless a
-single turn is.  Each window but the one that has the system turn itself repeats
-it, and repeats the turns that end within `history` tokens before its first new
-one.  Repeated turns are masked: each assistant text is under the loss mask in
-exactly one window.
+stretches has a window of its own.  The system turn is the first turn with that
+role, wherever it stands; each later window repeats it.  A window also repeats
+the turns that begin within `history` tokens before its first new one.  Where the
+system turn, the new turns and the history are above the budget, the history
+gives way, its oldest turns first; the system turn never does.  So a window is
+above the budget only if it has one new turn that is above it together with the
+system turn.  Repeated turns are masked: each assistant text is under the loss
+mask in exactly one window.
 
-Tokens are estimated as words (runs without white space) and MARKS for a turn.
+Tokens are estimated as words (runs without white space) and MARKS for a turn; a
+column with a text's own count can stand in for the words.
 
 Edge cases: null roles and texts are empty; turns are ordered by turn, then
 role, then text, null first; rows that are repeated are turns each; a null
@@ -42,36 +46,44 @@ def unescape(text: F.Column) -> F.Column:
     return text
 
 
-def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128) -> DataFrame:
-    """conv_id, window (ascending, from 0), n_tokens, formatted and loss (code point spans, end exclusive)."""
+def format_windows(conversations: DataFrame, budget: int = 512, history: int = 128, tokens: F.Column | None = None) -> DataFrame:
+    """conv_id, window (ascending, from 0), n_new (turns), n_tokens, formatted and loss (code point spans, end exclusive).
+
+    tokens: a column of `conversations` with the tokens of each text, e.g. joined from a table of a tokenizer's counts.
+    """
     conv = Window.partitionBy("conv_id")
-    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long") + MARKS
+    rows = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.lit(None) if tokens is None else tokens).cast("long").alias("counted"))
+    words = F.coalesce("counted", F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")) + MARKS
     in_order = conv.orderBy("turn", "role", "text")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     turns = rows.withColumn("tokens", words).withColumn("nth", F.row_number().over(in_order)).withColumn("upto", F.sum("tokens").over(so_far))
     turns = turns.withColumn("before", F.col("upto") - F.col("tokens")).withColumn("body", F.concat(F.lit("["), escape(F.col("role")), F.lit("]"))).withColumn("inner", escape(F.col("text")))
-    is_system = (F.col("nth") == 1) & (F.col("role") == "system")
-    system = F.first(F.when(is_system, F.struct(F.concat(F.lit("<h>"), "body", "inner", F.lit("</h>")).alias("piece"), F.col("tokens")))).over(in_order)
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    system = F.first(F.when(F.col("role") == "system", F.struct("nth", F.concat(F.lit("<h>"), "body", "inner", F.lit("</h>")).alias("piece"), F.col("tokens"))), ignorenulls=True).over(whole)
     turns = turns.withColumn("system", system)
+    is_system = F.coalesce(F.col("nth") == F.col("system.nth"), F.lit(False))
     room = F.greatest(F.lit(1), budget - history - F.coalesce(F.col("system.tokens"), F.lit(0)))
     first, last = F.floor(F.col("before") / room), F.floor((F.col("upto") - 1) / room)
     turns = turns.withColumn("slot", F.when(first == last, 2 * first).otherwise(2 * first + 1))
-    in_slot = Window.partitionBy("conv_id", "slot").orderBy("nth")
-    repeat = F.when(~is_system, F.struct("nth", F.concat(F.lit("<h>"), "body", "inner", F.lit("</h>")).alias("piece"), F.col("tokens")))
+    slot = Window.partitionBy("conv_id", "slot")
+    in_slot = slot.orderBy("nth")
+    repeat = F.when(~is_system, F.struct("nth", F.concat(F.lit("<h>"), "body", "inner", F.lit("</h>")).alias("piece"), F.col("tokens"), F.col("before")))
     recent = F.collect_list(repeat).over(conv.orderBy("before").rangeBetween(-history, -1))
-    turns = turns.withColumn("place", F.row_number().over(in_slot)).withColumn("recent", F.when(F.col("place") == 1, F.array_sort(recent)))
-    has_system = F.max(is_system).over(Window.partitionBy("conv_id", "slot"))
-    lead = F.concat(F.when(~has_system, F.coalesce("system.piece", F.lit(""))).otherwise(F.lit("")), F.array_join(F.transform("recent", lambda x: x["piece"]), ""))
-    lead_tokens = F.when(~has_system, F.coalesce("system.tokens", F.lit(0))).otherwise(F.lit(0)) + F.aggregate("recent", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
+    turns = turns.withColumn("place", F.row_number().over(in_slot)).withColumn("fresh", F.sum("tokens").over(slot))
+    late = F.coalesce(F.col("nth") > F.col("system.nth"), F.lit(False))
+    led = F.when(late, F.col("system.tokens")).otherwise(F.lit(0))
+    allowed = F.least(F.lit(history), F.greatest(F.lit(0), budget - F.col("fresh") - led))
+    turns = turns.withColumn("recent", F.when(F.col("place") == 1, F.array_sort(F.filter(recent, lambda x: x["before"] >= F.col("before") - allowed))))
+    lead = F.concat(F.when(late, F.col("system.piece")).otherwise(F.lit("")), F.array_join(F.transform("recent", lambda x: x["piece"]), ""))
+    lead_tokens = led + F.aggregate("recent", F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
     turns = turns.withColumn("piece", F.concat(F.when(F.col("place") == 1, lead).otherwise(F.lit("")), F.lit("<s>"), "body", "inner", F.lit("</s>")))
     turns = turns.withColumn("cost", F.col("tokens") + F.when(F.col("place") == 1, lead_tokens).otherwise(F.lit(0)))
     turns = turns.withColumn("end", F.sum(F.length("piece")).over(in_slot.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 4)
     span = F.when(F.col("role") == "assistant", F.struct(F.col("nth"), (F.col("end") - F.length("inner")).alias("start"), F.col("end").alias("end")))
-    windows = turns.groupBy("conv_id", "slot").agg(F.sum("cost").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("nth", "piece"))).alias("pieces"), F.array_sort(F.collect_list(span)).alias("spans"))
+    windows = turns.groupBy("conv_id", "slot").agg(F.count(F.lit(1)).alias("n_new"), F.sum("cost").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("nth", "piece"))).alias("pieces"), F.array_sort(F.collect_list(span)).alias("spans"))
     joined = F.array_join(F.transform("pieces", lambda x: x["piece"]), "")
     loss = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    return windows.select("conv_id", F.col("slot").cast("long").alias("window"), "n_tokens", joined.alias("formatted"), loss.alias("loss"))
+    return windows.select("conv_id", F.col("slot").cast("long").alias("window"), "n_new", "n_tokens", joined.alias("formatted"), loss.alias("loss"))
 
 
 def read_windows(windows: DataFrame) -> DataFrame:
