@@ -33,10 +33,13 @@ FLUSH_BYTES = 48 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; make a folder only where it is unset (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; make a folder only where it is unset and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -45,6 +48,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A value that holds a thousandth of all rows, and so many rows at least, is hot: there are at most a thousand of them.
+HOT_SHARE, HOT_LEAST = 1000, 1000
+
+
+def join_hot(rows: DataFrame, sizes: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """rows joined with `sizes`, which has one row for each value of `on` and in `n` how many of `rows` have it.
+
+    Values that hold many rows would each land in one task: as they are at most
+    HOT_SHARE by their share, they are broadcast, and only the others shuffle.
+    rows are read twice: they should be a checkpoint.
+    """
+    least = max(HOT_LEAST, -(-total // HOT_SHARE))
+    hot = F.broadcast(sizes.where(F.col(n) >= least))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(sizes.where(F.col(n) < least), on)
+    return cold.unionByName(rows.join(hot, on))
+
+
 _compressors = {level: zstandard.ZstdCompressor(level=level) for level in (1, 3)}
 _decompressor = zstandard.ZstdDecompressor()
 
@@ -181,6 +201,22 @@ def unpack(packs: pa.ChunkedArray) -> tuple[np.ndarray, list[bytes | None]]:
     return np.array([ids[k] for k in order], np.int64), [texts[k] for k in order]
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns (longs) of batches that are sorted by the first one, cut so that no value of it is in two pieces."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        now = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        if not len(now[0]):
+            continue
+        if held and held[0][0][-1] != now[0][-1] or not held and now[0][0] != now[0][-1]:
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            yield [np.concatenate(parts) for parts in zip(*held, [x[:last] for x in now])]
+            held, now = [], [x[last:] for x in now]
+        held.append(now)
+    if held:
+        yield [np.concatenate(parts) for parts in zip(*held)]
+
+
 def text_key() -> F.Column:
     """Tells rows with one doc_id apart by their text; the same as `xxhash_of` in Python."""
     return F.xxhash64(F.col("text").cast("string"))

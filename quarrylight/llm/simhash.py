@@ -124,7 +124,6 @@ def _forest(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
 def _link(most: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell; a cell may go on in the next batch."""
-        held: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
 
         def pairs(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cuts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1], True]) if len(cell) else np.zeros(1, np.int64)
@@ -141,13 +140,8 @@ def _link(most: int):
                 dst.append(group[found[:, 1]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
-        for batch in batches:
-            cell = np.concatenate([held[0], batch.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([held[1], batch.column(1).to_numpy(zero_copy_only=False)])
-            last = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-            yield pairs(cell[:last], fp[:last])
-            held = cell[last:], fp[last:]
-        yield pairs(*held)
+        for cell, fp in C.whole_runs(batches):
+            yield pairs(cell, fp)
 
     return run
 
@@ -163,12 +157,12 @@ def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
         raise ValueError("the grid of radius 1 finds distances up to 2")
     spark = docs.sparkSession
     prints = C.checkpoint(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key().alias("key")).mapInArrow(_fingerprints, "doc_id long, key long, fp long"))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = distinct.select("fp").mapInArrow(_deal, "cell long, fp long").repartition(n, "cell").sortWithinPartitions("cell")
     links = C.checkpoint(dealt.mapInArrow(_link(distance), "src long, dst long").distinct())
     labels = components(links).withColumnRenamed("node", "fp")
-    firsts = distinct.join(labels, "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    low = firsts.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    classes = firsts.join(low, "label").select("fp", "component_id", "label")
-    return prints.join(classes, "fp").select("doc_id", "key", "fp", "component_id", "label")
+    firsts = C.checkpoint(distinct.join(labels, "fp", "left").select("fp", "n", "first_id", F.coalesce("label", "fp").alias("label")))
+    low = firsts.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n_prints"))
+    classes = C.join_hot(firsts, low, ["label"], firsts.count(), "n_prints").select("fp", "n", "component_id", "label")
+    return C.join_hot(prints, classes, ["fp"], prints.count()).select("doc_id", "key", "fp", "component_id", "label")
