@@ -15,7 +15,12 @@ All choices follow from hashes of the rows: reruns agree on any cluster.
 Edge cases: a null text has no words; null sources form one source, last in
 order; a null doc_id is an id like any other; repeated rows are rounded each;
 documents without words are taken or not but add nothing; an empty table gives
-no rows; other columns are ignored by `mixture` and kept by `mixed_documents`.
+no rows; other columns are ignored by `mixture` and kept by `mixed_documents`,
+where of rows alike in doc_id, source and text those with the smaller hash of the
+whole row come first.
+
+Repeated rows are counted and numbered (nth), never sorted in one task; sources
+and keys that hold many rows are joined by broadcast (`_common.join_hot`).
 """
 
 from __future__ import annotations
@@ -100,6 +105,14 @@ def _round(level: int, last: bool) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _numbered(counted: DataFrame, most: int = 4096) -> DataFrame:
+    """A row for each of the `m` rows that a row of counted stands for, numbered by nth from 1.  What comes more than `most` times is dealt out before."""
+    few = counted.where(F.col("m") <= most).withColumn("first", F.lit(0).cast("long"))
+    stretches = counted.where(F.col("m") > most).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(most).cast("long")))).withColumn("m", F.least(F.lit(most), F.col("m") - F.col("first")))
+    both = few.unionByName(stretches.repartition("key", "first"))
+    return both.withColumn("nth", F.explode(F.sequence(F.col("first") + 1, F.col("first") + F.col("m")))).drop("first", "m")
+
+
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, key, nth, source, size, source_size, target, copies and taken (copies * size) for each row.
 
@@ -114,10 +127,12 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     aims = C.checkpoint(targets(sums, weights, share, most).join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    full = aims.select(F.col("source").alias("s"), "rank", "source_size", "target", rate.alias("rate"), F.ceil(F.col("n") / GROUP).alias("parts"))
-    joined = rows.join(full, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("size")).cast("long")
-    start = joined.withColumn("nth", nth).withColumn("part", F.pmod(F.xxhash64("key", "nth"), F.col("parts"))).withColumn("p", F.col("rate") - F.floor("rate"))
+    full = aims.select(F.col("source").alias("s"), "rank", "source_size", "target", rate.alias("rate"), "n", F.ceil(F.col("n") / GROUP).alias("parts"))
+    numbered = _numbered(rows.groupBy("doc_id", "source", "key", "size").agg(F.count(F.lit(1)).alias("m")))
+    named = (F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"))
+    sided = C.checkpoint(numbered.select("doc_id", "key", "nth", "size", *named))
+    joined = C.join_hot(sided, full.withColumnsRenamed({"s": "source"}).select(*named, "n", "rank", "rate", "parts"), ["no_source", "name"], sided.count())
+    start = joined.withColumn("part", F.pmod(F.xxhash64("key", "nth"), F.col("parts"))).withColumn("p", F.col("rate") - F.floor("rate"))
     deepest = int(aims.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0])
     groups, level = max(1, -(-deepest // GROUP)), 0
     now, decided = start.select(*[c.split()[0] for c in _ROW.split(", ")]), None
@@ -131,13 +146,23 @@ def mixture(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: floa
         groups, level = -(-groups // FAN), level + 1
     ends = full.select(F.col("rank"), F.col("s").alias("source"), "source_size", "target", F.floor("rate").cast("long").alias("whole"))
     copies = (F.col("whole") + F.col("p")).cast("long")
-    return decided.join(ends, "rank").select("doc_id", "key", "nth", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = C.join_hot(decided, ends.join(aims.select("rank", "n"), "rank"), ["rank"], deepest)
+    return out.select("doc_id", "key", "nth", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of docs as often as `mixture` takes it, with the columns of docs."""
-    taken = mixture(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("nth").alias("_n"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", row_key()).withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_key").orderBy(F.lit(1))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")) & (F.col("_nth") == F.col("_n"))
-    rows = keyed.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = C.checkpoint(mixture(docs, **how).select("doc_id", "key", "copies"))
+    same = F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "key"
+    keys = taken.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("total"), F.min("copies").alias("least")).where("total > 0")
+    # The row travels as one struct: no column of docs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key")).select("row", *same)
+    found = C.join_hot(rows, keys, ["no_id", "id", "key"], taken.count())
+    alone = found.where("n = 1").select("row", "total")
+    # Rows alike in doc_id, source and text: `least` copies of each, and one more for those that come first by the hash of the whole row.
+    alike = found.where("n > 1").groupBy("no_id", "id", "key", "n", "total", "least", F.xxhash64("row").alias("hash")).agg(F.count(F.lit(1)).alias("m"), F.first("row").alias("row"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("no_id", "id", "key").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("m"), F.col("total") - F.col("n") * F.col("least") - before))
+    shared = alike.select("row", (F.col("m") * F.col("least") + more).alias("total"))
+    copies = alone.unionByName(shared).where("total > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("total").cast("int"))))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -64,8 +64,26 @@ def test_documents_keep_their_columns(spark):
     assert found == {i: n for i, n in taken.items() if n}
 
 
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "same text here", "a", f"k{i % 3}", i % 3) for i in range(3000)] + [(None, None, None, "x", 1)] * 40 + [(i, "word " * (i % 7), "b", "y", 2) for i in range(2, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _key string, _id int")
+    taken = {}
+    for r in mixture(df.repartition(3)).collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.copies
+    runs = [sorted(map(str, mixed_documents(df.repartition(n)).collect())) for n in (2, 7)]
+    assert runs[0] == runs[1]
+    mixed = mixed_documents(df)
+    assert mixed.columns == df.columns
+    found = {}
+    for r in mixed.collect():
+        assert (r["_key"], r["_id"]) in {("k0", 0), ("k1", 1), ("k2", 2), ("x", 1), ("y", 2)}
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == {i: n for i, n in taken.items() if n}
+
+
 def test_empty_table(spark):
-    assert mixture(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert mixture(empty).count() == 0 and mixed_documents(empty).count() == 0
 
 
 def test_pivot_keeps_mass_and_expectation():
