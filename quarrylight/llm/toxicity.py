@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become classes (insult, target, negation, reporting, intent, harm), and a
-chain of small transducers rewrites them: the threat transducer needs an intent
-before a harm, the negation, report and target transducers mark an insult or a
-threat that stands in their reach.  Composed, they are one deterministic machine
-over word classes.  Each clause counts with its gravest mark; the weights of the
-marks come from a logistic regression on labelled rows.
+Words become classes (insult, hint, target, negation, reporting, intent, harm),
+and a chain of small transducers rewrites them: the threat transducer needs an
+intent before a harm, the negation, report and target transducers mark an insult,
+a hint or a threat that stands in their reach.  Composed, they are one
+deterministic machine over word classes.  Each clause counts once, with its
+gravest mark; the weights of the marks come from a logistic regression on
+labelled rows.
 
 The insult class has a seed word list and the stems that the training rows show:
 prefixes of words that stand nearly only in toxic texts (insult), or that come
 two times or more mostly in toxic texts (hint).  Near copies share a min-hash of
 their word shingles; only one of them trains, so that a text that was copied
 often isn't taken for many.
-Hints are counted by words, as one alone says little.
+A clause whose gravest mark is a hint says little alone: the weights are those of
+one, two and more such clauses in a text, where a clause with two hints or more
+counts twice and clauses that negate or report theirs have a weight of their own.
 
 Fitting uses a bounded sample of labelled rows (`max_rows`); scoring reads every
 whole text and nothing but the text.
@@ -51,10 +54,10 @@ HARM = "kill hurt destroy beat shoot stab burn die töten umbringen verletzen tu
 
 CLASSES = {"i": INSULT, "t": TARGET, "n": NEGATION, "r": REPORT, "w": INTENT, "h": HARM}
 #: Features: the marks of a clause, gravest first, and the weight each has without training.
-MARKS = {"h+": 6.0, "h": 5.5, "i+": 5.5, "i": 5.0, "i^": 2.0, "i-": 1.5, "h^": 1.0, "h-": 1.0}
-
-
-#: Weights, without training, of one hint word, of two, and of three or more in a text.
+MARKS = {"h+": 6.0, "h": 5.5, "i+": 5.5, "i": 5.0, "i^": 2.0, "i-": 1.5, "h^": 1.0, "h-": 1.0, "j^": 0.2, "j-": 0.1}
+#: Marks of clauses that hold hints, gravest first, and what each counts.
+HINTED = {"jj": 2, "j+": 1, "j": 1}
+#: Weights, without training, of a text where these counts come to one, to two, and to three or more.
 HINTS = (0.5, 2.0, 4.0)
 
 
@@ -81,7 +84,9 @@ class Transducer:
         return Transducer(0, step)
 
 
-_MARKED = ["i", "h", "i-", "h-", "i^", "h^", "i+", "h+"]
+_HELD = ("i", "h", "j")  # what a reach can mark
+_MARKED = [x + sign for x in _HELD for sign in ("", "-", "^", "+")]
+_RANK = {m: k for k, m in enumerate([*(m for m in MARKS if m[0] != "j"), *HINTED, *(m for m in MARKS if m[0] == "j")])}
 _ALL = ["o", "b", "t", "n", "r", "w", *_MARKED]
 
 
@@ -102,10 +107,10 @@ def _threat() -> Transducer:
 
 
 def grammar() -> Transducer:
-    alphabet = ["o", "b", "i", "t", "n", "r", "w", "h"]
+    alphabet = ["o", "b", "t", "n", "r", "w", *_HELD]
     whole = _threat()
-    for part in (_reach("n", 3, {"i": "i-", "h": "h-"}), _reach("r", 12, {"i": "i^", "h": "h^"}), _reach("t", 4, {"i": "i+", "h": "h+"})):
-        whole = whole.compose(part, alphabet)
+    for trigger, reach, sign in (("n", 3, "-"), ("r", 12, "^"), ("t", 4, "+")):
+        whole = whole.compose(_reach(trigger, reach, {x: x + sign for x in _HELD}), alphabet)
     return whole
 
 
@@ -133,7 +138,7 @@ class Scorer:
         return min(found) if found else self.known.get(w, "o")
 
     def clauses(self, text: str | None) -> list[tuple[int, int, str]]:
-        """(first word, end, mark) of each clause with a mark, and of each hint word."""
+        """(first word, end, mark) of each clause with a mark."""
         words = _WORD.findall(text.lower()) if text else []
         known = self.classes
         if len(known) > 200_000:
@@ -141,15 +146,17 @@ class Scorer:
         for w in (w for w in set(words) if w not in known):
             known[w] = self.word(w)
         symbols = [known[w] for w in words]
-        out = [(k, k + 1, "j") for k, x in enumerate(symbols) if x == "j"] if "j" in symbols else []
-        if "i" not in symbols and "h" not in symbols:
-            return out
+        if not any(x in symbols for x in _HELD):
+            return []
+        out, step = [], self.machine.step
         state, begin, worst = 0, 0, None
-        rank = {m: k for k, m in enumerate(MARKS)}
         for k, x in enumerate([*symbols, "b"]):
-            state, made = self.machine.step[state, "o" if x == "j" else x]
-            if made in rank and (worst is None or rank[made] < rank[worst]):
-                worst = made
+            state, made = step[state, x]
+            if made in _RANK:
+                if made in HINTED and worst in HINTED:
+                    worst = "jj"
+                elif worst is None or _RANK[made] < _RANK[worst]:
+                    worst = made
             if x == "b":
                 if worst:
                     out.append((begin, k, worst))
@@ -161,7 +168,8 @@ class Scorer:
 
     def of(self, clauses: list[tuple[int, int, str]]) -> list[float]:
         found = Counter(m for _, _, m in clauses)
-        return [*(float(np.log1p(found[m])) for m in MARKS), float(found["j"] == 1), float(found["j"] == 2), float(found["j"] > 2)]
+        hints = sum(n * found[m] for m, n in HINTED.items())
+        return [*(float(np.log1p(found[m])) for m in MARKS), float(hints == 1), float(hints == 2), float(hints > 2)]
 
     def score(self, features: list[float]) -> float:
         z = self.model.bias + sum(w * x for w, x in zip(self.model.weights, features))

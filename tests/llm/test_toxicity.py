@@ -14,7 +14,8 @@ def test_grammar_marks_clauses():
     assert marks("never will destroy") == ["h-"]
     assert marks("it did destroy") == []
     assert marks("a blorghx thing") == ["i"]
-    assert marks("hinx") == ["j"]
+    assert marks("hinx") == ["j"] and marks("hinx and hiny") == ["jj"] and marks("hinx. hiny") == ["j", "j"]
+    assert marks("you hinx") == ["j+"] and marks("never hinx") == ["j-"] and marks("she wrote hinx") == ["j^"] and marks("hinx idiot") == ["i"]
     assert marks("") == marks(None) == []
 
 
@@ -49,6 +50,33 @@ def test_learning_and_held_out_rows(spark):
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
 
 
+def test_the_machine_against_rules_by_word():
+    """Every mark of a random clause, by looking back from each word."""
+    rng = random.Random(4)
+    scorer = X.Scorer(X.Model(stems={"hin": "j"}))
+    words = {"o": "tree", "t": "you", "n": "never", "r": "said", "w": "will", "h": "kill", "i": "idiot", "j": "hint"}
+    rank = [*(m for m in X.MARKS if m[0] != "j"), *X.HINTED, *(m for m in X.MARKS if m[0] == "j")]
+    for _ in range(500):
+        clause = [rng.choice("ooootnrwhij") for _ in range(rng.randint(1, 16))]
+        near = lambda k, x, reach: x in clause[max(0, k - reach) : k]
+        made = []
+        for k, x in enumerate(clause):
+            if x in "ij" or x == "h" and near(k, "w", 3):
+                made.append(x + ("-" if near(k, "n", 3) else "^" if near(k, "r", 12) else "+" if near(k, "t", 4) else ""))
+        worst = min(made, key=rank.index, default=None)
+        if worst in X.HINTED and sum(m in X.HINTED for m in made) > 1:
+            worst = "jj"
+        assert [m for _, _, m in scorer.clauses(" ".join(words[x] for x in clause))] == ([worst] if worst else []), clause
+
+
+def test_long_text_and_ties(spark):
+    rows = [(1, "tree " * 400_000 + "you idiot"), (2, "you idiot"), (2, "you idiot")]
+    got = X.score(spark.createDataFrame(rows, "doc_id long, text string"), X.Model()).collect()
+    assert len({r.score for r in got}) == 1 and len(got) == 3
+    at = got[0].score
+    assert X.score(spark.createDataFrame(rows[1:], "doc_id long, text string"), X.Model(), threshold=at).first().predicted == 1
+
+
 def test_without_labels_and_rows(spark):
     d = spark.createDataFrame([(1, "you idiot")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
