@@ -24,13 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def few_files(df: DataFrame) -> DataFrame:
-    """Small digests in no more partitions than four for each core of the cluster."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def op1_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return few_files(substring_dedup(table(spark, d, "documents"))).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+    return substring_dedup(table(spark, d, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
 _OP1 = r"""
@@ -85,7 +80,7 @@ def op3_pii(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, d: str) -> DataFrame:
-    return few_files(quality(table(spark, d, "documents"), table(spark, d, "labels")))
+    return quality(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def op6_chat(spark: SparkSession, d: str) -> DataFrame:
@@ -104,16 +99,18 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 t AS (SELECT *, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tok, row_number() OVER o AS nth,
   length(text) + length(role) + 2 + len(regexp_extract_all(text || role, '[~<\[\]]')) + 7 AS chars
   FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-p AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY nth) AS upto, nth = 1 AND role = 'system' AS sys FROM t),
-s AS (SELECT *, upto - tok AS before, coalesce(max(CASE WHEN sys THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok, coalesce(max(CASE WHEN sys THEN chars END) OVER (PARTITION BY conv_id), 0) AS sys_chars FROM p),
+p AS (SELECT *, sum(tok) OVER (PARTITION BY conv_id ORDER BY nth) AS upto, min(CASE WHEN role = 'system' THEN nth END) OVER (PARTITION BY conv_id) AS sys_nth FROM t),
+s AS (SELECT *, nth = coalesce(sys_nth, 0) AS sys, upto - tok AS before, coalesce(max(CASE WHEN nth = sys_nth THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok,
+  coalesce(max(CASE WHEN nth = sys_nth THEN chars END) OVER (PARTITION BY conv_id), 0) AS sys_chars FROM p),
 r AS (SELECT *, greatest(1, 512 - 128 - sys_tok) AS room FROM s),
-w AS (SELECT *, CASE WHEN before // room = (upto - 1) // room THEN 2 * (before // room) ELSE 2 * (before // room) + 1 END AS slot,
-  coalesce(sum(CASE WHEN sys THEN 0 ELSE chars END) OVER (PARTITION BY conv_id ORDER BY before RANGE BETWEEN 128 PRECEDING AND 1 PRECEDING), 0) AS recent FROM r),
-f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, slot ORDER BY nth) AS place, max(sys) OVER (PARTITION BY conv_id, slot) AS has_sys FROM w)
+w AS (SELECT *, CASE WHEN before // room = (upto - 1) // room THEN 2 * (before // room) ELSE 2 * (before // room) + 1 END AS slot FROM r),
+v AS (SELECT *, row_number() OVER (PARTITION BY conv_id, slot ORDER BY nth) AS place, sum(tok) OVER (PARTITION BY conv_id, slot) AS fresh, nth > coalesce(sys_nth, nth) AS late FROM w),
+h AS (SELECT *, least(128, greatest(0, 512 - fresh - CASE WHEN late THEN sys_tok ELSE 0 END)) AS allowed FROM v),
+f AS (SELECT a.*, (SELECT coalesce(sum(b.chars), 0) FROM h AS b WHERE b.conv_id IS NOT DISTINCT FROM a.conv_id AND NOT b.sys AND b.before >= a.before - a.allowed AND b.before < a.before AND a.place = 1) AS recent FROM h AS a)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars + CASE WHEN place = 1 THEN recent + CASE WHEN has_sys THEN 0 ELSE sys_chars END ELSE 0 END) AS BIGINT) AS formatted_chars
+  CAST(sum(chars + CASE WHEN place = 1 THEN recent + CASE WHEN late THEN sys_chars ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM f GROUP BY conv_id
 """
 
