@@ -1,16 +1,19 @@
 """Analyzers: from text to arrays of terms, the same for index and query.
 
 Word breaks are runs of letters, digits and underscores, a simplification of
-UAX #29 (which keeps 3.14 and don't whole).  Stemming is the published Snowball
-algorithm for Russian, run over distinct terms only.
+UAX #29 (which keeps 3.14 and don't whole).  Two analyzers read texts: exact
+terms, and lemmas: terms without stop words, through the published Snowball
+stemmer for Russian and then Porter's for English.  A removed stop word leaves a
+gap in the positions.  Stemmers see each distinct term of a batch once.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,12 +91,71 @@ def russian_stem(word: str) -> str:
     return whole[:rv] + tail
 
 
-@F.pandas_udf(T.StringType())
-def stem(terms: pd.Series) -> pd.Series:
-    return terms.map(lambda t: russian_stem(t) if isinstance(t, str) and re.search("[а-я]", t) else t)
+# The Russian stop words of the search engine's list.
+RUSSIAN_STOP = frozenset(
+    "и в во не что он на я с со как а то все она так его но да ты к у же вы за бы по только ее мне было вот от меня еще нет о из ему теперь когда даже ну вдруг ли если уже или ни быть был него до вас нибудь опять уж вам ведь там потом себя ничего ей может они тут где есть надо ней для мы тебя их чем была сам чтоб без будто чего раз тоже себе под будет ж тогда кто этот того потому этого какой совсем ним здесь этом один почти мой тем чтобы нее сейчас были куда зачем всех никогда можно при наконец два об другой хоть после над больше тот через эти нас про всего них какая много разве три эту моя впрочем хорошо свою этой перед иногда лучше чуть том нельзя такой им более всегда конечно всю между".split()
+)
+# The suffixes of Porter's steps 2, 3 and 4, and what stands for them.
+PORTER_2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
+PORTER_3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+PORTER_4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
+
+# A y after a vowel or in front is a consonant, written Y meanwhile.
+_M0, _M1, _MORE = (re.compile(p).match for p in ("[^aeiouy]*[aeiouy]+[^aeiouy]", "[^aeiouy]*[aeiouy]+[^aeiouy]+$", "[^aeiouy]*[aeiouy]+[^aeiouy]+[aeiouy]+[^aeiouy]"))
+_CVC, _VOWEL, _TWICE = re.compile(r"[^aeiouy][aeiouy][^aeiouywxY]$").search, re.compile("[aeiouy]").search, re.compile(r"([^aeiouylsz])\1$").search
+
+
+def _ending(word: str, endings) -> str | None:
+    return max((e for e in endings if word.endswith(e)), key=len, default=None)
 
 
-def stemmed(postings: DataFrame, column: str = "term") -> DataFrame:
-    """postings with stems in place of terms; the stemmer sees each distinct term once."""
-    stems = postings.select(column).distinct().withColumn("_stem", stem(column))
-    return postings.join(stems, column).drop(column).withColumnRenamed("_stem", column)
+def english_stem(word: str) -> str:
+    """Porter's algorithm; words of one or two letters stay."""
+    if len(word) < 3:
+        return word
+    w = re.sub("^y|(?<=[aeiou])y", "Y", word)
+    w = w[:-2] if w.endswith(("sses", "ies")) else w[:-1] if w.endswith("s") and not w.endswith("ss") else w
+    if w.endswith("eed"):
+        w = w[:-1] if _M0(w[:-3]) else w
+    elif (cut := _ending(w, ("ed", "ing"))) and _VOWEL(w[: -len(cut)]):
+        w = w[: -len(cut)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif _TWICE(w):
+            w = w[:-1]
+        elif _M1(w) and _CVC(w):
+            w += "e"
+    if w[-1:] in ("y", "Y") and _VOWEL(w[:-1]):
+        w = w[:-1] + "i"
+    for table in (PORTER_2, PORTER_3):
+        if (cut := _ending(w, table)) and _M0(w[: -len(cut)]):
+            w = w[: -len(cut)] + table[cut]
+    if (cut := _ending(w, PORTER_4)) and _MORE(w[: -len(cut)]) and (cut != "ion" or w[-4:-3] in ("s", "t")):
+        w = w[: -len(cut)]
+    if w.endswith("e") and (_MORE(w[:-1]) or _M1(w[:-1]) and not _CVC(w[:-1])):
+        w = w[:-1]
+    if w.endswith("ll") and _MORE(w[:-1]):
+        w = w[:-1]
+    return w.lower()
+
+
+_CYRILLIC = re.compile("[а-я]").search
+
+
+@lru_cache(200_000)
+def lemma(term: str) -> str | None:
+    """What the lemma analyzer makes of an exact term: None for a stop word."""
+    if term in RUSSIAN_STOP:
+        return None
+    return russian_stem(term) if _CYRILLIC(term) else english_stem(term)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def lemma_terms(terms: pd.Series) -> pd.Series:
+    """Exact terms to lemmas; null where a stop word was."""
+    return terms.map(lambda ts: [lemma(t) for t in ts] if ts is not None else None)
+
+
+@F.pandas_udf(T.StringType())
+def stem(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda t: lemma(t) if isinstance(t, str) else None)

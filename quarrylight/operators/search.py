@@ -1,12 +1,18 @@
 """Ranked full-text search over chunks: an inverted index as tables, and queries as joins.
 
 What must match and what only ranks are apart: the must part picks chunks (a
-share of the query's terms, or every quoted phrase), phrase clauses only add to
+share of the query's lemmas, or every quoted phrase), other clauses only add to
 the score.  Fields score as one text: of each term the best field counts, with
 the document frequency of the field that has it most often.  The category filter
 stands above the facets, so facet counts don't see it.  One chunk for each URL
 is shown; totals count URLs.
 
+Each field is indexed twice, as exact terms and as lemmas.  A posting holds what
+a query needs (positions, the field's length), statistics are one row for each
+field, so a query reads the postings of its own terms and nothing that grows with
+the corpus: no text, no table of lengths.  Phrases and excluded words are settled
+by positions.
+
 A query is small, so its terms are literals in the plan: the scan of postings is
 pruned by them, and all that is shuffled are the postings of those terms.
 """
@@ -14,19 +20,27 @@ pruned by them, and all that is shuffled are the postings of those terms.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.functions.analysis import exact_terms, number_terms
+from quarrylight.functions.analysis import RUSSIAN_STOP, exact_terms, lemma, number_terms
 from quarrylight.functions.repair import document_number, looks_like_number
 from quarrylight.functions.text import text_or_empty
 
 #: Weights and length normalisation (b of BM25) of the fields that a query searches.
-FIELDS = {"title": (4.0, 0.75), "attachment_title": (3.0, 0.75), "text": (1.0, 0.4), "section": (0.5, 0.0), "document_kind": (2.0, 0.75)}
+FIELDS = {"title": (4.0, 0.75), "attachment_title": (3.0, 0.75), "text": (1.0, 0.4), "section": (0.5, 0.75), "document_kind": (2.0, 0.75)}
 FUZZY_FIELDS = ("title", "attachment_title", "text")
-PHRASES = (("title", 12.0, 1), ("attachment_title", 10.0, 1), ("text", 6.0, 2))
+#: Phrase clauses that only rank: analyzer, field, weight, slop.
+PHRASES = (("exact", "title", 12.0, 1), ("exact", "attachment_title", 10.0, 1), ("exact", "text", 6.0, 2), ("lemma", "text", 3.0, 3))
+#: Where a quoted phrase may stand: analyzer, field.
+QUOTED = (("exact", "text"), ("lemma", "text"), ("exact", "title"), ("exact", "attachment_title"))
+ALL_IN_TITLE, BESIDE_PHRASE = 4.0, 2.0
 NUMBER_SCORES = (40.0, 32.0, 24.0)
 K1 = 1.2
 CATEGORIES = ("news", "legal", "announcement", "media", "file")
@@ -51,10 +65,16 @@ def parse(raw: str | None) -> Query:
     return Query(re.sub(r"\s+", " ", rest).strip(), tuple(dict.fromkeys(found["phrase"])), tuple(dict.fromkeys(found["minus"])))
 
 
-def terms_of(text: str) -> list[str]:
-    """The query's terms by the index's analyzer, each once."""
+def places_of(text: str, kind: str = "exact") -> list[tuple[str, int]]:
+    """The query's terms by the index's analyzer, each with its place; a stop word leaves a gap."""
     folded = text.translate(str.maketrans("ёЁ", "еЕ")).lower()
-    return list(dict.fromkeys(re.findall(r"\w+", folded)))
+    words = re.findall(r"\w+", folded)
+    return [(t, k) for k, w in enumerate(words) if (t := lemma(w) if kind == "lemma" else w)]
+
+
+def terms_of(text: str, kind: str = "exact") -> list[str]:
+    """The query's terms, each once."""
+    return list(dict.fromkeys(t for t, _ in places_of(text, kind)))
 
 
 def needed(n: int, most_all: int = 3, share: float = 0.75) -> int:
@@ -64,66 +84,149 @@ def needed(n: int, most_all: int = 3, share: float = 0.75) -> int:
 
 @dataclass
 class Index:
-    """chunks: chunk_id, url, the fields and filters; postings: field, term, chunk_id, tf; lengths: field, chunk_id, len."""
+    """chunks: chunk_id, url, the fields and filters; postings: kind, field, term, chunk_id, tf, len, positions; stats: kind, field, n, mean."""
 
     chunks: DataFrame
     postings: DataFrame
-    lengths: DataFrame
+    stats: DataFrame
     fields: list[str] = field(default_factory=list)
 
 
+def _grouped(ids: pa.Array, rows: np.ndarray, places: np.ndarray, codes: np.ndarray, words: pa.Array, sizes: np.ndarray, kind: str, name: str) -> pa.RecordBatch:
+    """Postings of the tokens of some chunks: a row for each chunk and term."""
+    order = np.lexsort((places, codes, rows))
+    r, c = rows[order], codes[order]
+    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1])]) if len(r) else np.empty(0, np.int64)
+    ends = np.r_[first, len(r)].astype(np.int32)
+    constant = lambda v: pa.array([v] * len(first), pa.string())
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(places[order].astype(np.int32)))
+    columns = [constant(kind), constant(name), words.take(pa.array(c[first])).cast(pa.string()), ids.take(pa.array(r[first])), pa.array(np.diff(ends).astype(np.int64)), pa.array(sizes[r[first]].astype(np.int64)), positions]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "field", "term", "chunk_id", "tf", "len", "positions"])
+
+
+def _postings(fields: list[str]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = part.column(0)
+                for k, name in enumerate(fields, 1):
+                    lists = part.column(k)
+                    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                    coded = lists.flatten().dictionary_encode()
+                    rows = np.repeat(np.arange(len(sizes)), sizes)
+                    places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    codes = coded.indices.to_numpy()
+                    yield _grouped(ids, rows, places, codes, coded.dictionary, sizes, "exact", name)
+                    lemmas = pa.array([lemma(t) for t in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+                    codes = lemmas.indices.fill_null(-1).to_numpy()[codes] if len(codes) else codes
+                    kept = codes >= 0
+                    yield _grouped(ids, rows[kept], places[kept], codes[kept], lemmas.dictionary, np.bincount(rows[kept], minlength=len(sizes)), "lemma", name)
+
+    return run
+
+
 def build_index(chunks: DataFrame) -> Index:
+    """Both analyzers over each field of chunks; a chunk's postings are made where the chunk is, without a shuffle."""
     fields = [f for f in FIELDS if f in chunks.columns]
-    tokens = lengths = None
+    if "document_number" in chunks.columns and "document_number_normalized" not in chunks.columns:
+        chunks = chunks.withColumn("document_number_normalized", document_number(F.col("document_number")))
+    key = chunks.schema["chunk_id"].dataType.simpleString()
+    tokens = chunks.select("chunk_id", *[exact_terms(F.col(f)).alias(f) for f in fields])
+    postings = tokens.mapInArrow(_postings(fields), f"kind string, field string, term string, chunk_id {key}, tf long, len long, positions array<int>")
+    return Index(chunks, postings, _stats(chunks, fields), fields)
+
+
+def _stats(chunks: DataFrame, fields: list[str]) -> DataFrame:
+    """kind, field, n (chunks), mean (length of a field where it has terms): one scan, a row for each field and analyzer."""
+    means = []
     for f in fields:
-        terms = exact_terms(F.col(f))
-        part = chunks.select("chunk_id", F.lit(f).alias("field"), F.posexplode(terms).alias("position", "term"))
-        size = chunks.select("chunk_id", F.lit(f).alias("field"), F.size(terms).alias("len")).where("len > 0")  # no shuffle
-        tokens, lengths = (part, size) if tokens is None else (tokens.unionByName(part), lengths.unionByName(size))
-    postings = tokens.groupBy("field", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return Index(chunks, postings, lengths, fields)
+        words = exact_terms(F.col(f))
+        for kind, terms in (("exact", words), ("lemma", F.filter(words, lambda t: ~t.isin(*RUSSIAN_STOP)))):
+            means.append(F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("field"), F.avg(F.nullif(F.size(terms), F.lit(0))).alias("mean")))
+    whole = chunks.agg(F.count(F.lit(1)).alias("n"), F.array(*means).alias("m"))
+    return whole.select("n", F.explode("m").alias("m")).select("m.kind", "m.field", "n", "m.mean")
+
+
+def _idf(df: Column) -> Column:
+    return F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
 
 
-def _lengths(index: Index) -> DataFrame:
-    n = index.chunks.agg(F.count(F.lit(1)).alias("n"))
-    return index.lengths.groupBy("field").agg(F.avg("len").alias("mean")).crossJoin(F.broadcast(n))
+def _saturated(tf: Column, b: Column | float) -> Column:
+    return tf / (tf + K1 * (1 - b + b * F.col("len") / F.col("mean")))
 
 
-def term_scores(index: Index, terms: list[str], fields: tuple[str, ...] | None = None) -> DataFrame:
+def term_scores(index: Index, terms: list[str], fields: tuple[str, ...] | None = None, kind: str = "exact") -> DataFrame:
     """chunk_id, term, score: the best field's BM25 for each term, with the terms' largest document frequency."""
     use = [f for f in index.fields if fields is None or f in fields]
-    hits = index.postings.where(F.col("term").isin(*terms) & F.col("field").isin(*use))
+    hits = index.postings.where((F.col("kind") == kind) & F.col("term").isin(*terms) & F.col("field").isin(*use))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("term").agg(F.max("df").alias("df"))
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, (w, _) in FIELDS.items()])
     b = F.coalesce(*[F.when(F.col("field") == f, F.lit(b)) for f, (_, b) in FIELDS.items()])
-    joined = hits.join(F.broadcast(df), "term").join(index.lengths, ["field", "chunk_id"]).join(F.broadcast(_lengths(index)), "field")
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") / (F.col("tf") + K1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return joined.groupBy("chunk_id", "term").agg(F.max(boost * idf * tf).alias("score"))
+    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(index.stats.where(F.col("kind") == kind).drop("kind")), "field")
+    return joined.groupBy("chunk_id", "term").agg(F.max(boost * _idf(F.col("df")) * _saturated(F.col("tf"), b)).alias("score"))
 
 
-def match_terms(index: Index, text: str, fields: tuple[str, ...] | None = None, least: int | None = None) -> DataFrame:
-    """chunk_id, score of chunks that have enough of the text's terms in any of the fields."""
-    terms = terms_of(text)
-    least = needed(len(terms)) if least is None else least
-    found = term_scores(index, terms, fields).groupBy("chunk_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
+def match_terms(index: Index, text: str, fields: tuple[str, ...] | None = None, least: int | None = None, kind: str = "lemma") -> DataFrame:
+    """chunk_id, score of chunks that have enough of the text's terms in any of the fields; none if no term is left of it."""
+    terms = terms_of(text, kind)
+    least = max(1, needed(len(terms)) if least is None else least)
+    found = term_scores(index, terms, fields, kind).groupBy("chunk_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n"))
     return found.where(F.col("n") >= least).select("chunk_id", "score")
 
 
-def has_phrase(c: Column, phrase: str, slop: int = 0) -> Column:
-    """Do the phrase's terms stand in the column in order, with at most `slop` words in a gap?"""
-    terms = [re.escape(t) for t in re.findall(r"\w+", phrase.translate(str.maketrans("ёЁ", "еЕ")).lower())]
-    gap = rf" (?:\S+ ){{0,{slop}}}" if slop else " "
-    return F.rlike(F.concat(F.lit(" "), F.array_join(exact_terms(c), " "), F.lit(" ")), F.lit(" " + gap.join(terms) + " ")) if terms else F.lit(False)
+def phrase_scores(index: Index, phrase: str, name: str, kind: str = "exact", slop: int = 0) -> DataFrame | None:
+    """chunk_id, score of chunks whose field has the phrase; None for a phrase without terms.
 
+    `slop` is one budget for the whole phrase: the terms' places, less their
+    places in the phrase, lie within it.  Each such stretch counts 1 / (1 + its
+    width), and the sum scores like a term that has the idf of all of them.
+    """
+    places = places_of(phrase, kind)
+    if not places or name not in index.fields:
+        return None
+    terms = list(dict.fromkeys(t for t, _ in places))
+    hits = index.postings.where((F.col("kind") == kind) & (F.col("field") == name) & F.col("term").isin(*terms))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = index.stats.where((F.col("kind") == kind) & (F.col("field") == name)).select("n", "mean")
+    idf = df.crossJoin(F.broadcast(stats)).agg(F.sum(_idf(F.col("df"))).alias("idf"), F.first("n").alias("n"), F.first("mean").alias("mean"))
+    whole = hits.groupBy("chunk_id").agg(F.first("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).where(F.size("at") == len(terms))
+    less = lambda xs, k: F.transform(xs, lambda x: x - k)
+    moved = F.array(*[less(F.element_at("at", t), k) for t, k in places])
 
-def has_all(chunks: DataFrame, text: str, fields: tuple[str, ...] = FUZZY_FIELDS) -> Column:
-    """Are all terms of the text in one of the fields or another?"""
-    words = F.flatten(F.array(*[exact_terms(F.col(f)) for f in fields if f in chunks.columns]))
-    out = F.lit(bool(terms_of(text)))
-    for t in terms_of(text):
-        out = out & F.array_contains(words, t)
-    return out
+    def wide(v: Column) -> Column:
+        """How far the stretch from v on must go to have all terms; null if it can't."""
+        nexts = F.transform("moved", lambda xs: F.array_min(F.filter(xs, lambda x: x >= v)))
+        return F.when(F.forall(nexts, lambda x: x.isNotNull()), F.array_max(nexts) - v)
+
+    if slop:
+        widths = F.filter(F.transform(F.array_distinct(F.flatten("moved")), wide), lambda w: w <= slop)
+        freq = F.aggregate(widths, F.lit(0.0), lambda s, w: s + 1.0 / (1.0 + w))
+    else:
+        freq = F.size(reduce(F.array_intersect, [F.get("moved", F.lit(k)) for k in range(len(places))]))
+    found = whole.select("chunk_id", "len", moved.alias("moved")).select("chunk_id", "len", freq.cast("double").alias("tf")).where("tf > 0")
+    return found.crossJoin(F.broadcast(idf)).select("chunk_id", (F.col("idf") * _saturated(F.col("tf"), FIELDS[name][1])).alias("score"))
+
+
+def _sum(parts: list[DataFrame]) -> DataFrame:
+    """chunk_id, score: the sum of a chunk's scores."""
+    return reduce(DataFrame.unionByName, parts).groupBy("chunk_id").agg(F.sum("score").alias("score"))
+
+
+def quoted(index: Index, phrase: str) -> DataFrame | None:
+    """chunk_id, score of chunks that have a quoted phrase in one of its fields; None for a phrase without terms."""
+    parts = [p for kind, name in QUOTED if (p := phrase_scores(index, phrase, name, kind)) is not None]
+    return _sum(parts) if parts else None
+
+
+def has_phrase(c: Column, phrase: str) -> Column:
+    """Do the phrase's exact terms stand in the column one after another?  For filters over texts without an index."""
+    terms = [re.escape(t) for t in terms_in_order(phrase)]
+    return F.rlike(F.concat(F.lit(" "), F.array_join(exact_terms(c), " "), F.lit(" ")), F.lit(" " + " ".join(terms) + " ")) if terms else F.lit(False)
+
+
+def terms_in_order(text: str) -> list[str]:
+    return [t for t, _ in places_of(text)]
 
 
 def number_clauses(value: str) -> tuple[Column, Column, Column]:
@@ -131,10 +234,10 @@ def number_clauses(value: str) -> tuple[Column, Column, Column]:
     want = document_number(F.lit(value))
     parts = number_terms(F.replace(want, F.lit("-"), F.lit("")))
     own = number_terms(F.col("document_number"))
-    return document_number(F.col("document_number")) == want, F.lower(F.trim(text_or_empty(F.col("document_number")))) == want, (F.size(parts) > 0) & F.forall(parts, lambda p: F.array_contains(own, p))
+    return F.col("document_number_normalized") == want, F.lower(F.trim(text_or_empty(F.col("document_number")))) == want, (F.size(parts) > 0) & F.forall(parts, lambda p: F.array_contains(own, p))
 
 
-def number_matches(chunks: DataFrame, value: str) -> Column:
+def number_matches(value: str) -> Column:
     canonical, stored, parts = number_clauses(value)
     return canonical | stored | parts
 
@@ -149,9 +252,9 @@ def add_number_scores(chunks: DataFrame, raw: str) -> DataFrame:
 
 
 def filters(chunks: DataFrame, *, number: str | None = None, kind: str | None = None, date_from: str | None = None, date_to: str | None = None, doc_type: str | None = None, attachment: bool | None = None) -> DataFrame:
-    """Predicates that don't score; a date bound never matches a null date."""
-    if number:
-        chunks = chunks.where(number_matches(chunks, number))
+    """Predicates that don't score; a date bound never matches a null date.  A number without letters or digits filters nothing."""
+    if number and re.search(r"\w", number):
+        chunks = chunks.where(number_matches(number))
     if kind:
         chunks = chunks.where(F.lower(F.trim("document_kind")) == kind.strip().lower())
     if date_from:
@@ -163,30 +266,38 @@ def filters(chunks: DataFrame, *, number: str | None = None, kind: str | None =
     return chunks if attachment is None else chunks.where(F.col("is_attachment") == attachment)
 
 
+def _scored(chunks: DataFrame, must: list[DataFrame], should: list[DataFrame]) -> DataFrame:
+    """The chunks that are in all of `must`, with the sum of all scores."""
+    out = chunks.withColumn("score", F.lit(0.0))
+    for part, how in [*((m, "inner") for m in must), *((s, "left") for s in should)]:
+        out = out.join(part.withColumnRenamed("score", "_more"), "chunk_id", how).withColumn("score", F.col("score") + F.coalesce("_more", F.lit(0.0))).drop("_more")
+    return out
+
+
 def run_query(index: Index, raw: str, **how) -> DataFrame:
     """The matching chunks with their scores; an empty query matches all."""
     q, chunks = parse(raw), filters(index.chunks, **how)
     if not (q.text or q.phrases or q.excluded):
         return chunks.withColumn("score", F.lit(0.0))
-    texts = [f for f in ("text", "title", "attachment_title") if f in chunks.columns]
-    for phrase in q.phrases:
-        any_field = F.lit(False)
-        for f in texts:
-            any_field = any_field | has_phrase(F.col(f), phrase)
-        chunks = chunks.where(any_field)
+    must = [p for phrase in q.phrases if (p := quoted(index, phrase)) is not None]
+    if len(must) < len(q.phrases):  # a phrase of marks alone stands nowhere
+        return chunks.where("false").withColumn("score", F.lit(0.0))
+    should: list[DataFrame] = []
+    if q.text and q.phrases:  # free words beside a phrase only rank
+        should.append(match_terms(index, q.text, least=1).withColumn("score", BESIDE_PHRASE * F.col("score")))
+    elif q.text:
+        must.append(match_terms(index, q.text))
+        if not q.excluded:
+            ranked = [(phrase_scores(index, q.text, name, kind, slop), boost) for kind, name, boost, slop in PHRASES]
+            parts = [p.withColumn("score", boost * F.col("score")) for p, boost in ranked if p is not None]
+            if terms_of(q.text, "lemma") and "title" in index.fields:
+                weight = ALL_IN_TITLE / FIELDS["title"][0]  # the clause's weight stands for the field's
+                parts.append(match_terms(index, q.text, ("title",), len(terms_of(q.text, "lemma"))).withColumn("score", weight * F.col("score")))
+            should += [_sum(parts)] if parts else []
     for word in q.excluded:
-        chunks = chunks.where(~has_all(chunks, word))
-    if not q.text:
-        return add_number_scores(chunks.withColumn("score", F.lit(0.0)), raw)
-    if q.phrases:  # free words beside a phrase only rank
-        scored = match_terms(index, q.text, least=1).withColumn("score", 2 * F.col("score"))
-        return add_number_scores(chunks.join(scored, "chunk_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), raw)
-    out = chunks.join(match_terms(index, q.text), "chunk_id")
-    if not q.excluded:
-        for f, boost, slop in PHRASES:
-            if f in texts:
-                out = out.withColumn("score", F.col("score") + F.when(has_phrase(F.col(f), q.text, slop), boost).otherwise(0.0))
-    return add_number_scores(out, raw)
+        if terms_of(word, "lemma"):
+            chunks = chunks.join(match_terms(index, word, FUZZY_FIELDS, len(terms_of(word, "lemma"))).select("chunk_id"), "chunk_id", "left_anti")
+    return add_number_scores(_scored(chunks, must, should), raw)
 
 
 def near_words(postings: DataFrame, term: str, most: int = 24) -> DataFrame:
@@ -199,14 +310,16 @@ def near_words(postings: DataFrame, term: str, most: int = 24) -> DataFrame:
     return words.withColumn("edits", away).where(F.col("edits") <= edits).orderBy("edits", F.desc("df"), "term").limit(most)
 
 
-def fuzzy_query(index: Index, raw: str, **how) -> DataFrame:
-    """Chunks with words near to 65 % of the query's terms; quotes and minus signs are plain text here."""
-    terms, hits = terms_of(raw), None
-    postings = index.postings.where(F.col("field").isin(*FUZZY_FIELDS))
+def fuzzy_query(index: Index, raw: str, most: int = 24, **how) -> DataFrame:
+    """Chunks with words near to 65 % of the query's lemmas; quotes and minus signs are plain text here."""
+    terms, hits = terms_of(raw, "lemma"), None
+    postings = index.postings.where((F.col("kind") == "lemma") & F.col("field").isin(*FUZZY_FIELDS))
     for t in terms:
-        near = near_words(postings, t).select("term", F.lit(t).alias("asked"), (1.0 / (1 + F.col("edits"))).alias("weight"))
+        near = near_words(postings, t, most).select("term", F.lit(t).alias("asked"), (1.0 / (1 + F.col("edits"))).alias("weight"))
         part = postings.join(F.broadcast(near), "term").groupBy("chunk_id", "asked").agg(F.max("weight").alias("score"))
         hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return filters(index.chunks, **how).where("false").withColumn("score", F.lit(0.0))
     found = hits.groupBy("chunk_id").agg(F.sum("score").alias("score"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(1, int(0.65 * len(terms))))
     return filters(index.chunks, **how).join(found.drop("n"), "chunk_id")
 
@@ -243,7 +356,7 @@ def search(index: Index, raw: str = "", *, category: str | None = None, sort: st
     """The whole search; a query that finds nothing on the first page is tried again with near words."""
     check_options(raw, sort=sort, limit=limit, offset=offset, category=category, **how)
     hits, mode = run_query(index, raw, **how), "exact"
-    if offset == 0 and terms_of(raw) and hits.isEmpty():
+    if offset == 0 and terms_of(raw, "lemma") and hits.isEmpty():
         hits, mode = fuzzy_query(index, raw, **how), "fuzzy"
     shown = hits.where(F.col("content_category") == category.strip().lower()) if category else hits
     total = shown.agg(F.countDistinct("url").alias("total"), F.least(F.count(F.lit(1)), F.lit(10_000)).alias("hits"))
@@ -265,13 +378,16 @@ def check_options(raw: str, *, sort: str = "relevance", limit: int = 10, offset:
 
 
 def publish(index: Index, folder: str, version: str) -> None:
-    """Write an index under a version and make it current; postings are sorted by term, so that a query's scan is pruned.
+    """Write an index under a version and make it current.
 
-    The pointer is a table that only grows: its last row is current, and going
-    back is one more row.
+    Postings are dealt to ranges of (kind, term, chunk_id) and sorted in them: a
+    query's scan is pruned by term, and the postings of a very common word are in
+    many files.  The pointer is a table that only grows: its last row is current,
+    and going back is one more row.
     """
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/{version}/postings")
-    index.lengths.write.mode("overwrite").parquet(f"{folder}/{version}/lengths")
+    order = ["kind", "term", "chunk_id"]
+    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/{version}/postings")
+    index.stats.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{version}/stats")
     index.chunks.write.mode("overwrite").parquet(f"{folder}/{version}/chunks")
     point_to(index.chunks.sparkSession, folder, version)
 
@@ -285,4 +401,4 @@ def current(spark: SparkSession, folder: str) -> Index:
     version = spark.read.parquet(f"{folder}/pointer").agg(F.max_by("version", "at")).first()[0]
     part = lambda name: spark.read.parquet(f"{folder}/{version}/{name}")
     chunks = part("chunks")
-    return Index(chunks, part("postings"), part("lengths"), [f for f in FIELDS if f in chunks.columns])
+    return Index(chunks, part("postings"), part("stats"), [f for f in FIELDS if f in chunks.columns])
