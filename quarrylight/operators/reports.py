@@ -52,6 +52,12 @@ def confidence(words: DataFrame, by: str) -> DataFrame:
     return real.groupBy(by).agg(F.avg("conf").alias("mean"), F.avg((F.col("conf") < 60).cast("int")).alias("low"), F.count(F.lit(1)).alias("words"))
 
 
+def page_confidence(pages: DataFrame, words: DataFrame, by: str) -> DataFrame:
+    """`confidence` with a row for each page: one without words has (0, 1, 0)."""
+    found = pages.select(by).distinct().join(confidence(words, by), by, "left")
+    return found.select(by, F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("low", F.lit(1.0)).alias("low"), F.coalesce("words", F.lit(0).cast("long")).alias("words"))
+
+
 def document_confidence(pages: DataFrame, by: str) -> DataFrame:
     """Mean of the measured page confidences; null, never 0, if none was measured."""
     return pages.groupBy(by).agg(F.bround(F.avg(F.when(F.col("confidence") > 0, F.col("confidence"))), 2).alias("confidence"))
@@ -86,8 +92,9 @@ def manifest_differences(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def expired(archives: DataFrame, keep: int) -> DataFrame:
-    """Archives (name) beyond the newest `keep`."""
-    return archives.withColumn("_n", F.row_number().over(Window.orderBy(F.desc("name")))).where(F.col("_n") > keep).drop("_n")
+    """Archives (name) beyond the newest `keep`: older than the last of those, which are found by a bounded sort."""
+    last = archives.orderBy(F.desc("name")).limit(keep).agg(F.min("name").alias("_last"), F.count(F.lit(1)).alias("_kept"))
+    return archives.crossJoin(F.broadcast(last)).where(F.when(F.col("_kept") < keep, False).otherwise(F.col("name") < F.col("_last"))).drop("_last", "_kept")
 
 
 def page_decision(blank, native_readable, ocr_text, ocr_readable, engine=None):
