@@ -10,6 +10,9 @@ from .text import MONTHS_GENITIVE, compact, text_or_empty
 # Kinds in their order, labels of a page's table.
 KINDS = ("постановление", "распоряжение", "решение", "приказ", "положение", "указ")
 RESERVED = ("номер документа", "дата документа", "тип документа", "опубликовано на сайте", "скачать документ", "скачать файл", "формат файла", "размер")
+# What a number's mark, a number and the dates of an act look like.
+NUMBER_MARK, NUMBER = r"(?:№|N[oо]?\.?)", r"([0-9А-Яа-яЁё\-/–—]+)"
+DATE_AFTER = r"от\s+((?:\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4})|(?:\d{1,2}\s+[а-яё]+\s+\d{4}(?:\s+года)?))"
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
@@ -50,8 +53,8 @@ def title_metadata(c: Column) -> Column:
     kind = F.regexp_extract(head, kind_pattern, 1)
     start = F.regexp_instr(head, F.lit(kind_pattern))
     header = F.substring(x, start, F.lit(320))
-    number = F.regexp_extract(header, r"(?iu)(?:№|N[oо]?\.?)\s*([0-9А-Яа-яЁё\-/–—]+)", 1)
-    date = F.regexp_extract(header, "(?iu)" + _EDGE + r"от\s+((?:\d{1,2}[.\-/]\d{1,2}[.\-/]\d{4})|(?:\d{1,2}\s+[а-яё]+\s+\d{4}(?:\s+года)?))", 1)
+    number = F.regexp_extract(header, "(?iu)" + NUMBER_MARK + r"\s*" + NUMBER, 1)
+    date = F.regexp_extract(header, "(?iu)" + _EDGE + DATE_AFTER, 1)
     return F.struct(F.when(kind != "", canonical_kind(kind)).alias("kind"), F.when(kind != "", valid_number(number)).alias("number"), F.when(kind != "", russian_date(date)).alias("date"))
 
 
@@ -61,7 +64,7 @@ def header_reliable(c: Column) -> Column:
     kind_pattern = "(?iu)" + _EDGE + "(" + "|".join(KINDS) + ")" + _END
     head = F.substring(x, 1, 1200)
     header = F.substring(x, F.regexp_instr(head, F.lit(kind_pattern)), F.lit(320))
-    number = F.rlike(header, F.lit(r"(?iu)(?:№|N[oо]?\.?)\s*\d{1,7}"))
+    number = F.rlike(header, F.lit("(?iu)" + NUMBER_MARK + r"\s*\d{1,7}"))
     return F.rlike(head, F.lit(kind_pattern)) & number & russian_date(F.regexp_extract(header, "(?iu)" + _EDGE + r"от\s+(.{8,40})", 1)).isNotNull()
 
 
@@ -69,16 +72,36 @@ def labelled_value(c: Column, label: str) -> Column:
     """What stands after 'label:' on its line, or on the line after the label; null for another label."""
     lines = F.filter(F.transform(F.split(text_or_empty(c), r"\r\n?|\n"), lambda x: F.trim(x)), lambda x: x != "")
     want = label.strip().rstrip(":").lower()
-    inline = lambda x: F.startswith(F.lower(x), F.lit(want + ":")) & (F.trim(F.substring(x, len(want) + 2, 10_000)) != "")
+    inline = lambda x: F.startswith(F.lower(x), F.lit(want + ":")) & (F.trim(F.substring(x, F.lit(len(want) + 2), F.length(x))) != "")
     alone = lambda x: F.lower(F.trim(F.regexp_replace(x, ":+$", ""))) == want
     flags = F.transform(lines, lambda x: alone(x) | inline(x))
     at = F.array_position(flags, F.lit(True)).cast("int")
     line = F.try_element_at(lines, F.nullif(at, F.lit(0)))
     following = compact(F.try_element_at(lines, F.nullif(at, F.lit(0)) + 1))
-    return F.when(at == 0, None).when(alone(line), F.when((following != "") & ~_label(following).isin(*RESERVED), following)).otherwise(compact(F.substring(line, len(want) + 2, 10_000)))
+    return F.when(at == 0, None).when(alone(line), F.when((following != "") & ~_label(following).isin(*RESERVED), following)).otherwise(compact(F.substring(line, F.lit(len(want) + 2), F.length(line))))
 
 
 def header_needs_ocr(c: Column) -> Column:
     """A kind of act at the top, but no number and possible date beside it."""
     kind_pattern = "(?iu)" + _EDGE + "(" + "|".join(KINDS) + ")" + _END
     return F.rlike(F.substring(compact(c), 1, 1200), F.lit(kind_pattern)) & ~header_reliable(c)
+
+
+def page_metadata(text: Column, url: Column) -> Column:
+    """struct<number, date, kind> of a whole page: its labels first, then what stands at the top of a detail page.
+
+    A page is one of a single act if its URL has an element id or its text has
+    one of the labels; only then numbers and kinds in running text count, and a
+    number without a kind before it only beside the labels.
+    """
+    x = text_or_empty(text)
+    labels = F.lit(False)
+    for label in RESERVED[:3]:
+        labels = labels | F.contains(F.lower(x), F.lit(label))
+    detail = labels | F.contains(F.lower(text_or_empty(url)), F.lit("element_id="))
+    typed = "(?isu)" + _EDGE + "(?:" + "|".join(KINDS) + ")" + _END + r".{0,180}?" + NUMBER_MARK + r"\s*" + NUMBER
+    near = F.when(detail, valid_number(F.regexp_extract(F.substring(x, 1, 2500), typed, 1)))
+    bare = F.when(labels, valid_number(F.regexp_extract(F.substring(x, 1, 1500), "(?iu)" + NUMBER_MARK + r"\s*" + NUMBER, 1)))
+    number = F.coalesce(valid_number(labelled_value(x, "Номер документа")), near, bare)
+    kind = F.coalesce(canonical_kind(labelled_value(x, "Тип документа")), F.when(detail, canonical_kind(F.substring(x, 1, 2500))))
+    return F.struct(number.alias("number"), russian_date(labelled_value(x, "Дата документа")).alias("date"), kind.alias("kind"))

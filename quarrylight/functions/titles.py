@@ -129,9 +129,9 @@ def drop_title(snippet: Column, title: Column) -> Column:
     return let(F.struct(snippet.alias("s"), title.alias("t")), of)
 
 
-def result_snippet(snippet: Column, text: Column, title: Column) -> Column:
+def result_snippet(snippet: Column, text: Column, title: Column, tags: bool = True) -> Column:
     """The snippet cleaned; the beginning of the text if fewer than 40 characters are left."""
-    one = lambda c, n: clean_site_text(drop_title(restore_start(clean_site_text(c, n), title), title), 520, tags=False)
+    one = lambda c, n: clean_site_text(drop_title(restore_start(clean_site_text(c, n, tags=tags), title), title), 520, tags=False)
     both = F.struct(one(snippet, 650).alias("a"), one(text, 520).alias("b"))
     return let(both, lambda x: F.when(F.length(x["a"]) >= 40, x["a"]).otherwise(x["b"]))
 

@@ -51,10 +51,24 @@ def chunk_id(url: Column, page: Column, number: Column) -> Column:
     return F.sha2(F.concat_ws("\0", url, page.cast("string"), number.cast("string")), 256)
 
 
-def content_hash(title: Column, section: Column, category: Column, site_section: Column, published: Column, number: Column, date: Column, kind: Column, attachments: Column, pages: Column) -> Column:
-    """SHA-256 over the metadata lines, attachments (array<struct<url, title>>) by URL, and pages (array<struct<page_number, text>>)."""
+# Sets of page numbers in the hash, in their order.
+PAGE_SETS = ("OCR_PAGES", "OCR_ATTEMPTED_PAGES", "OCR_REJECTED_PAGES", "OCR_TIMED_OUT_PAGES", "OCR_BUDGET_SKIPPED_PAGES", "OCR_DEFERRED_PAGES", "UNREADABLE_PAGES")
+
+
+def content_hash(title: Column, section: Column, category: Column, site_section: Column, published: Column, number: Column, date: Column, kind: Column, attachments: Column, pages: Column, version: Column | None = None, page_sets: dict[str, Column] | None = None) -> Column:
+    """SHA-256 over the metadata lines, attachments (array<struct<url, title>>) by URL, and pages (array<struct<page_number, text>>).
+
+    A document with an extraction version has a line for it and for each set of
+    page numbers of PAGE_SETS (array<int>, in their order), after its metadata.
+    """
     names = ("TITLE", "SECTION", "CONTENT_CATEGORY", "SITE_SECTION", "PUBLISHED_AT", "DOCUMENT_NUMBER", "DOCUMENT_DATE", "DOCUMENT_KIND")
     lines = F.array(*[F.concat(F.lit(n + ":"), text_or_empty(c)) for n, c in zip(names, (title, section, category, site_section, published, number, date, kind))])
+    if version is not None:
+        sets = page_sets or {}
+        empty = F.array().cast("array<int>")
+        told = [F.concat(F.lit(n + ":"), F.array_join(F.coalesce(sets[n], empty) if n in sets else empty, ",")) for n in PAGE_SETS]
+        more = F.array(F.concat(F.lit("EXTRACTION_VERSION:"), version), *told)
+        lines = F.when(F.coalesce(version, F.lit("")) != "", F.concat(lines, more)).otherwise(lines)
     links = F.transform(F.array_sort(attachments), lambda a: F.concat(F.lit("ATTACHMENT:"), a["url"], F.lit("|"), a["title"]))
     body = F.array_join(F.transform(pages, lambda p: F.concat(F.lit("PAGE:"), p["page_number"].cast("string"), F.lit("\n"), p["text"])), "\n\f\n")
     return F.sha2(F.concat(F.array_join(F.concat(lines, links), "\n"), F.lit("\n\f\n"), body), 256)

@@ -333,7 +333,7 @@ def _cross_sql(name: str, words: list[str], fields: tuple[str, ...], least: int)
 
 _EXACT_TOKENS, _LEMMA_TOKENS = "et AS (SELECT doc_id, field, p, term AS w FROM tok)", "ll AS (SELECT doc_id, field, p, lemma AS w FROM lt)"
 _SEARCHED = S.terms_of(SEARCHED, "lemma")
-_SEARCH_SQL = f"""{_lemmas(_TWO_FIELDS)}, {_EXACT_TOKENS}, {_LEMMA_TOKENS},
+SEARCH_SQL = f"""{_lemmas(_TWO_FIELDS)}, {_EXACT_TOKENS}, {_LEMMA_TOKENS},
 {_cross_sql("must", _SEARCHED, ("title", "text"), S.needed(len(_SEARCHED)))},
 {_cross_sql("entitled", _SEARCHED, ("title",), len(_SEARCHED))},
 {_phrase_sql("ph1", "et", "title", SEARCHED.split(), 1)},
@@ -348,8 +348,8 @@ ORACLE = {
     "q_bm25": _BM25 + "SELECT doc_id, round(score, 6) AS score, n_terms FROM s ORDER BY 2 DESC, 1 LIMIT 10",
     "q_lemma": _lemmas(_ONE_FIELD) + " SELECT term, lemma FROM lem",
     "q_phrase_lemma": f"{_lemmas(_ONE_FIELD)}, {_LEMMA_TOKENS} SELECT DISTINCT a.doc_id FROM ll AS a JOIN ll AS b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.w = '{analysis.lemma('thing')}' AND b.w = '{analysis.lemma('the')}'",
-    "q_search": _SEARCH_SQL + "SELECT url, doc_id AS chunk_id, round(score, 6) AS score FROM hit WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, doc_id) = 1 ORDER BY score DESC, url LIMIT 10",
-    "q_search_facets": _SEARCH_SQL + ", k AS (SELECT unnest(['all', 'news', 'legal', 'announcement', 'media', 'file']) AS category) SELECT category, CASE WHEN category = 'all' THEN (SELECT count(DISTINCT url) FROM hit) ELSE (SELECT count(DISTINCT url) FROM hit WHERE lang = category) END AS n, category = 'en' AS selected, (SELECT count(DISTINCT url) FROM hit WHERE lang = 'en') AS total, (SELECT least(count(*), 10000) FROM hit WHERE lang = 'en') AS hits FROM k",
+    "q_search": SEARCH_SQL + "SELECT url, doc_id AS chunk_id, round(score, 6) AS score FROM hit WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, doc_id) = 1 ORDER BY score DESC, url LIMIT 10",
+    "q_search_facets": SEARCH_SQL + ", k AS (SELECT unnest(['all', 'news', 'legal', 'announcement', 'media', 'file']) AS category) SELECT category, CASE WHEN category = 'all' THEN (SELECT count(DISTINCT url) FROM hit) ELSE (SELECT count(DISTINCT url) FROM hit WHERE lang = category) END AS n, category = 'en' AS selected, (SELECT count(DISTINCT url) FROM hit WHERE lang = 'en') AS total, (SELECT least(count(*), 10000) FROM hit WHERE lang = 'en') AS hits FROM k",
     "q_fuzzy_search": f"{_lemmas(_ONE_FIELD)}, n AS (SELECT DISTINCT lemma, CASE WHEN lemma IN ('trhon', 'thorn', 'thrno') THEN 1 ELSE levenshtein(lemma, 'thron') END AS e FROM lem WHERE lemma LIKE 't%' AND length(lemma) BETWEEN 4 AND 6) SELECT doc_id, round(max(1.0 / (1 + e)), 6) AS score FROM lt JOIN n USING (lemma) WHERE e <= 1 GROUP BY 1",
     "q_msm": _BM25.replace("'the', 'thorn', 'erhe', 'queeau'", ", ".join(f"'{t}'" for t in COMMON)) + "SELECT doc_id, round(score, 6) AS score, n_terms FROM s WHERE n_terms >= 3",
     "q_crossfields": _CROSS,

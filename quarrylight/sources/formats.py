@@ -14,7 +14,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterable, Iterator
-from html.parser import HTMLParser
+from urllib.robotparser import RobotFileParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,74 +22,16 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions.urls import content_type, path, suffix
 
-# Tags that aren't content, tags that end a line, title places in order, groups that RTF readers skip.
-SKIPPED = {"script", "style", "noscript", "template", "nav", "footer", "header", "aside", "form", "button", "svg", "iframe"}
-BLOCKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "table", "section", "article", "ul", "ol", "dt", "dd", "blockquote"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+from . import page_html
+from .page_html import lines
+
+# Groups that RTF readers skip.
 RTF_GROUPS = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "object", "themedata", "colorschememapping", "latentstyles", "datastore", "xmlnstbl", "listtable", "listoverridetable", "rsidtbl", "generator", "header", "footer"}
-_SCHEMA = "format string, title string, section string, published string, pages array<struct<page_number:int,text:string>>, links array<struct<url:string,title:string>>, error string"
-
-
-def lines(text: str) -> str:
-    """Single blanks within lines, no empty lines."""
-    return "\n".join(x for x in (re.sub(r"[ \t\xa0\f\v]+", " ", y).strip() for y in re.split(r"\r\n?|\n", text)) if x)
-
-
-class _Page(HTMLParser):
-    """Title candidates, the main text without boilerplate, breadcrumbs, a date and links."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.text: list[str] = []
-        self.titles: dict[str, str] = {}
-        self.crumbs: list[str] = []
-        self.published: str | None = None
-        self.links: list[list[str]] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "meta" and a.get("property") == "og:title":
-            self.titles.setdefault("og", a.get("content", ""))
-        if tag == "time" and self.published is None:
-            self.published = a.get("datetime") or None
-        if tag == "a" and a.get("href"):
-            self.links.append([a["href"], ""])
-        if tag in BLOCKS:
-            self.text.append("\n")
-        if tag not in VOID:
-            self.open.append((tag, tag in SKIPPED or "breadcrumb" in a.get("class", "") or "hidden" in a))
-            if "breadcrumb" in a.get("class", ""):
-                self.open[-1] = (tag + "|crumb", True)
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag in BLOCKS:
-            self.text.append("\n")
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0].split("|")[0] == tag:
-                del self.open[k:]
-                break
-
-    def handle_data(self, data: str) -> None:
-        tags = [t for t, _ in self.open]
-        if any(t.endswith("|crumb") for t in tags) and data.strip():
-            self.crumbs.append(data.strip())
-        if "title" in tags or "h1" in tags:
-            place = "h1" if "h1" in tags else "title"
-            self.titles[place] = self.titles.get(place, "") + data
-        if "a" in tags and self.links:
-            self.links[-1][1] += data
-        if not any(skip for _, skip in self.open) and "title" not in tags:
-            self.text.append(data)
-
-
-def html(body: bytes) -> dict:
-    page = _Page()
-    page.feed(decode(body))
-    page.close()
-    title = next((" ".join(page.titles[k].split()) for k in ("h1", "og", "title") if page.titles.get(k, "").strip()), "")
-    links = list({u: (u, " ".join(t.split())) for u, t in page.links}.values())  # the last title of a link counts
-    return {"title": title, "section": " / ".join(page.crumbs)[:300], "published": page.published, "pages": [lines("".join(page.text))], "links": links}
+_SCHEMA = "format string, title string, section string, published string, pages array<struct<page_number:int,text:string>>, links array<struct<url:string,title:string>>, attachments array<struct<url:string,title:string>>, error string"
+
+
+def html(body: bytes, url: str = "") -> dict:
+    return page_html.read(decode(body), url)
 
 
 def decode(body: bytes) -> str:
@@ -192,8 +134,13 @@ def rtf(body: bytes) -> dict:
     return {"pages": [lines("".join(out))]}
 
 
-def pdf(body: bytes) -> dict:
-    raise ValueError("no PDF library here: pass recognised pages as a table")
+#: What stands in `error` of a document whose pages can't be read here: its row keeps what its name tells.
+METADATA_ONLY = "metadata only: no PDF library here, pass recognised pages as a table"
+
+
+def pdf(body: bytes, url: str = "") -> dict:
+    """A row without pages, titled by its file name: what a reader that ran out of time leaves."""
+    return {"title": page_html.file_name(url), "section": "", "error": METADATA_ONLY}
 
 
 READERS = {"pdf": pdf, "docx": docx, "xlsx": xlsx, "rtf": rtf, "odf": opendocument, "html": html, "text": plain}
@@ -213,23 +160,37 @@ def extract(files: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for kind, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for url, kind, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found, error = {}, None
                 try:
-                    found = READERS[kind](body or b"") if kind else {}
-                    error = None if kind else "unsupported format"
+                    found = {} if not kind else READERS[kind](body or b"", url or "") if kind in ("html", "pdf") else READERS[kind](body or b"")
+                    error = found.get("error") if kind else "unsupported format"
                 except Exception as e:  # a broken document is a row, not a failed task
                     error = f"{type(e).__name__}: {e}"[:200]
-                rows.append({"format": kind, "title": found.get("title"), "section": found.get("section"), "published": found.get("published"), "pages": [{"page_number": n, "text": t} for n, t in enumerate(found.get("pages", []), 1)], "links": [{"url": u, "title": t} for u, t in found.get("links", [])], "error": error})
-            kinds = pa.struct([("format", pa.string()), ("title", pa.string()), ("section", pa.string()), ("published", pa.string()), ("pages", pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string())]))), ("links", pa.list_(pa.struct([("url", pa.string()), ("title", pa.string())]))), ("error", pa.string())])
+                rows.append({"format": kind, "title": found.get("title"), "section": found.get("section"), "published": found.get("published"), "pages": [{"page_number": n, "text": t} for n, t in enumerate(found.get("pages", []), 1)], "links": [{"url": u, "title": t} for u, t in found.get("links", [])], "attachments": [{"url": u, "title": t} for u, t in found.get("attachments", [])], "error": error})
+            kinds = pa.struct([("format", pa.string()), ("title", pa.string()), ("section", pa.string()), ("published", pa.string()), ("pages", pa.list_(pa.struct([("page_number", pa.int32()), ("text", pa.string())]))), ("links", pa.list_(pa.struct([("url", pa.string()), ("title", pa.string())]))), ("attachments", pa.list_(pa.struct([("url", pa.string()), ("title", pa.string())]))), ("error", pa.string())])
             yield pa.RecordBatch.from_arrays([batch.column(0), *pa.array(rows, kinds).flatten()], ["url", *[f.name for f in kinds]])
 
     return files.select("url", document_format(F.col("content_type"), F.col("url")).alias("format"), "content").mapInArrow(run, f"url string, {_SCHEMA}")
 
 
+#: Bytes that a gzipped sitemap may inflate to.
+MOST_INFLATED = 64 << 20
+
+
+def _inflated(body: bytes) -> bytes:
+    if body[:2] != b"\x1f\x8b":
+        return body
+    with gzip.GzipFile(fileobj=io.BytesIO(body)) as f:
+        raw = f.read(MOST_INFLATED + 1)
+    if len(raw) > MOST_INFLATED:
+        raise ValueError("a sitemap that inflates beyond its bound")
+    return raw
+
+
 def sitemap(body: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
     """(sitemaps, (page, lastmod) pairs) of a sitemap or sitemap index, plain or gzipped, whatever its namespace."""
-    root = ET.fromstring(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body)
+    root = ET.fromstring(_inflated(body))
     maps, pages = [], []
     for e in root:
         parts = {_local(x.tag): (x.text or "").strip() for x in e}
@@ -241,6 +202,25 @@ def sitemap(body: bytes) -> tuple[list[str], list[tuple[str, str | None]]]:
     return maps, pages
 
 
+def robots_rules(text: str) -> RobotFileParser:
+    """The allow and deny rules of a robots.txt: `can_fetch(agent, url)`."""
+    rules = RobotFileParser()
+    rules.parse(text.splitlines())
+    return rules
+
+
+def allowed(urls: DataFrame, text: str, agent: str = "*") -> DataFrame:
+    """Rows (url) that a robots.txt allows an agent to fetch; the rules are one small file."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = robots_rules(text)
+        for batch in batches:
+            at = batch.schema.get_field_index("url")
+            yield batch.filter(pa.array([u is not None and rules.can_fetch(agent, u) for u in batch.column(at).to_pylist()], pa.bool_()))
+
+    return urls.mapInArrow(run, urls.schema)
+
+
 def robots(text: str) -> list[str]:
     """Sitemaps that a robots.txt names."""
     return [m.strip() for m in re.findall(r"(?im)^\s*sitemap:\s*(\S+)", text)]

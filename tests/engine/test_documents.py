@@ -27,7 +27,7 @@ DOCX = archive(word__document_xml=f"<w:document {W}><w:body><w:p><w:r><w:t>First
 XLSX = archive(xl__workbook_xml='<workbook><sheets><sheet name="One"/></sheets></workbook>', xl__sharedStrings_xml="<sst><si><t>word</t></si></sst>", xl__worksheets__sheet1_xml='<worksheet><sheetData><row><c t="s"><v>0</v></c><c><v>7</v></c></row></sheetData></worksheet>')
 ODT = archive(content_xml='<d xmlns:text="t"><text:h>Head</text:h><text:p>one<text:tab/>two</text:p></d>')
 RTF = rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\*\generator x;}\uc1 Hello\par \u1055?\'f0\'e8 \{x\}\tab end}"
-HTML = "<html><head><title>T</title><script>no()</script></head><body><nav>menu</nav><h1>Head &amp; more</h1><p>Body  text</p><a href='/a.pdf'>Act</a><time datetime='2024-03-14'>x</time></body></html>".encode()
+HTML = "<html><head><title>T</title><script>no()</script></head><body><nav>menu</nav><main><h1>Head &amp; more</h1><p>Body  text</p><a href='/a.pdf'>Act</a><time class='detail-content-date' datetime='2024-03-14'>x</time></main></body></html>".encode()
 
 
 def test_formats(spark):
@@ -41,7 +41,54 @@ def test_formats(spark):
     h = got["u5"]
     assert (h.title, h.published, [(x.url, x.title) for x in h.links]) == ("Head & more", "2024-03-14", [("/a.pdf", "Act")]) and "menu" not in text("u5")[0] and "no()" not in text("u5")[0]
     assert text("u6.txt") == ["привет"] and text("u10.txt") == [""]
-    assert got["u7.pdf"].error and got["u8.docx"].error and got["u9.exe"].error == "unsupported format"
+    assert got["u7.pdf"].error.startswith("metadata only") and got["u7.pdf"].title == "u7.pdf" and got["u8.docx"].error and got["u9.exe"].error == "unsupported format"
+
+
+def test_pages_by_ordered_selectors():
+    from quarrylight.sources import page_html as P
+
+    press = """<html><head><title>Администрация города Сочи - Новости</title></head><body><div class="breadcrumbs"><a>Главная</a><a>Пресс-служба</a><a>Заголовок</a></div>
+    <main><h1>Чужой</h1></main><div id="ajax-page-content"><h2>Заголовок</h2><p>Текст <b>новости</b>.<p>Второй абзац<div class="social">лишнее</div><span>Поделиться</span>
+    <a href="/f/akt.pdf#p">Акт</a><a href="x.doc">Скачать документ</a><a href="mailto:a@b">.pdf</a><time class="detail-content-date" datetime="2024-03-14T10:00">14</time></div></body></html>"""
+    r = P.read(press, "https://h/press-sluzhba/novosti/1/2/")
+    assert (r["title"], r["section"], r["published"]) == ("Заголовок", "Пресс-служба", "2024-03-14")
+    assert r["pages"] == ["Текст новости.\nВторой абзац\nАкт\nСкачать документ\n.pdf".replace("\nАкт\nСкачать документ\n.pdf", "\nАктСкачать документ.pdf")]
+    assert r["attachments"] == [("https://h/f/akt.pdf", "Акт"), ("https://h/press-sluzhba/novosti/1/2/x.doc", "Скачать документ")]
+    legal = "<body><main>main<div id='maincontent' class='content'>act<nav>n</nav></div></main></body>"
+    assert P.read(legal, "https://h/normativno-pravovyye-akty/?ELEMENT_ID=1")["pages"] == ["act"]
+    assert P.read(legal, "https://h/other/")["pages"] == ["main\nact"] and P.read(legal, "https://h/normativno-pravovyye-akty/?ELEMENT_ID=1")["section"].startswith("Городская власть")
+    assert P.read("<p>plain", "https://h/a%20b.html")["title"] == "a b.html" and P.read("", "")["pages"] == [""]
+    root = P.parse("<div class='a b' id=x><p>1</p></div><div class='a'><p role='main'>2</p></div>")
+    assert [n.text() for n in P.select(root, "div.a p")] == ["1", "2"] and [n.text() for n in P.select(root, ".a.b p")] == ["1"] and [n.text() for n in P.select(root, "p[role='main']")] == ["2"] and [n.text() for n in P.select(root, "[class*='b'] p")] == ["1"]
+
+
+def test_robots_rules(spark):
+    text = "User-agent: *\nDisallow: /private\nAllow: /"
+    rows = spark.createDataFrame([("https://h/a",), ("https://h/private/b",), (None,)], "url string")
+    assert [r.url for r in formats.allowed(rows, text).collect()] == ["https://h/a"]
+
+
+def test_an_inflated_sitemap_is_bounded(monkeypatch):
+    monkeypatch.setattr(formats, "MOST_INFLATED", 100)
+    with pytest.raises(ValueError, match="bound"):
+        formats.sitemap(gzip.compress(b"<urlset>" + b" " * 1000 + b"</urlset>"))
+
+
+def test_results_and_csv(spark, tmp_path):
+    from quarrylight.operators import present
+
+    assert present.snippet_query('парк «состав семьи» -елка') == "состав семьи парк"
+    long = "Слово. " * 60 + "Благоустройства парка <b> касается этот абзац. " + "Ещё слово. " * 60
+    found = present.highlighted(long, frozenset({"благоустройств", "парк"}))
+    assert len(found) == 1 and "<mark>Благоустройства</mark> <mark>парка</mark> &lt;b&gt;" in found[0] and len(found[0]) < 420
+    assert present.highlighted("нет слов " * 60, frozenset({"x"}))[0].startswith("нет слов") and present.highlighted("", frozenset()) == []
+    hits = spark.createDataFrame([("c1", "https://h/press-sluzhba/novosti/1/2", "Заголовок &amp; новость", "Ёлка стоит в парке и светит всем жителям города каждый вечер до конца января.", "news", 2.0, "page"), ("c2", "https://h/x.pdf", "pdf", "@#$%^&*()!~ " * 20, None, 1.0, "pdf")], "chunk_id string, url string, title string, text string, content_category string, score double, doc_type string")
+    a, b = sorted(present.results(hits, "елка").collect(), key=lambda r: r.id)
+    assert a.title == "Заголовок & новость" and "Ёлка" in a.snippet and a.content_category == "news" and len(a.asDict()) == 37
+    assert b.snippet == present.GARBLED_PDF
+    present.write_csv(spark.createDataFrame([("=1", 'a"b'), (None, "x;y")], "f string, g string").coalesce(1), str(tmp_path / "c"))
+    raw = b"".join(p.read_bytes() for p in sorted((tmp_path / "c").glob("part-*")))
+    assert raw.decode("utf-8") == '\ufeff"f";"g"\r\n"\'=1";"a""b"\r\n"";"x;y"\r\n'
 
 
 def test_sitemaps():
