@@ -27,7 +27,7 @@ def measures(df: DataFrame, column: str = "text") -> DataFrame:
     lower = F.transform(w, F.lower)
     n = F.size(w)
     size_of = lambda cond: F.size(F.filter(w, cond))
-    title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 100_000)))
+    title = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, F.lit(2), F.length(x))))
     mixed = lambda x: (F.length(x) >= 4) & (x != F.lower(x)) & (x != F.upper(x)) & (x != title(x))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     chars, letters = F.length(t), _count(t, r"\p{L}")

@@ -21,7 +21,9 @@ LATIN, CYRILLIC = "ABCEHKMOPTXYaceopxy", "АВСЕНКМОРТХУасеорху
 DASHES = "‐‑‒–—―−"
 SPACES = "    ﻿"
 NUMBER_LATIN, NUMBER_CYRILLIC = "pPcCaAoOeExXyYkKmMtThHbB", "ррссааооееххууккммттннвв"
-HYPHEN_BREAK = r"([А-Яа-яЁёA-Za-z]{2,})[-­‐‑‒–—][ \t]*\r?\n[ \t]*([а-яёa-z]{2,})"
+HYPHEN_BREAK = r"([А-Яа-яЁёA-Za-z]{2,})[-­‐‑‒–—][ \t]*\r?\n[ \t]*(?=[а-яёa-z]{2,})"
+NUMBER_SIGN = r"(?iu)^\s*(?:№|N[оo]?\.?)\s*"
+NUMBER_SHAPE = r"(?iu)(?:№|N[оo]?\.?)\s*\d{1,7}(?:\s*[-/]\s*[A-Za-zА-Яа-яЁё0-9]+)?|(?<![\p{L}\p{N}_])\d{1,7}\s*-\s*[а-яё]{1,4}(?![\p{L}\p{N}_])"
 NUMBER_SUFFIX = r"(\d{1,7})\s*[-‐‑‒–—−]\s*([A-Za-zА-Яа-яЁё]{1,3})\b"
 WORD = r"[^\W\d_]+"
 
@@ -33,22 +35,19 @@ def document_number(c: Column) -> Column:
     """The canonical form for index and query: number sign, dashes, look-alikes, blanks and case folded."""
     x = F.trim(F.replace(F.trim(text_or_empty(c)), F.lit(" "), F.lit(" ")))
     x = F.translate(x, DASHES, "-" * len(DASHES))
-    x = F.regexp_replace(x, r"(?iu)^\s*(?:№|N[оo]?\.?)\s*", "")
+    x = F.regexp_replace(x, NUMBER_SIGN, "")
     x = F.translate(x, NUMBER_LATIN, NUMBER_CYRILLIC)
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(x, r"\s*-\s*", "-"), r"(?U)\s+", " ")))
 
 
 def looks_like_number(c: Column) -> Column:
     """Does a query hold something like an act number?"""
-    return F.rlike(text_or_empty(c), F.lit(r"(?iu)(?:№|N[оo]?\.?)\s*\d{1,7}(?:\s*[-/]\s*[A-Za-zА-Яа-яЁё0-9]+)?|(?<![\p{L}\p{N}_])\d{1,7}\s*-\s*[а-яё]{1,4}(?![\p{L}\p{N}_])"))
+    return F.rlike(text_or_empty(c), F.lit(NUMBER_SHAPE))
 
 
-def join_hyphens(c: Column, passes: int = 3) -> Column:
-    """Words broken at line ends; a column of narrow lines needs a pass for each break of one word."""
-    x = text_or_empty(c)
-    for _ in range(passes):
-        x = F.regexp_replace(x, HYPHEN_BREAK, "$1$2")
-    return x
+def join_hyphens(c: Column) -> Column:
+    """Words broken at line ends, over however many lines: what follows a break is only looked at, so the next break joins on."""
+    return F.regexp_replace(text_or_empty(c), HYPHEN_BREAK, "$1")
 
 
 def _convert(word: str, has: re.Pattern, table: dict[int, int]) -> str | None:
@@ -69,25 +68,23 @@ def _suffix(m: re.Match) -> str:
     return m[0] if new is None else f"{m[1]}-{new}"
 
 
-@F.pandas_udf(T.StringType())
-def mixed_scripts(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: re.sub(WORD, lambda m: mixed_word(m[0]), v) if isinstance(v, str) else "")
+def repaired(text: str) -> str:
+    """Scripts, number suffixes, spaces and composed letters of one text, in this order."""
+    text = re.sub(NUMBER_SUFFIX, _suffix, re.sub(WORD, lambda m: mixed_word(m[0]), text))
+    return unicodedata.normalize("NFC", text.translate(_BLANKS))
 
 
-@F.pandas_udf(T.StringType())
-def number_suffixes(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: re.sub(NUMBER_SUFFIX, _suffix, v) if isinstance(v, str) else "")
+_BLANKS = str.maketrans(SPACES, " " * len(SPACES))
 
 
 @F.pandas_udf(T.StringType())
-def nfc(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: unicodedata.normalize("NFC", v) if isinstance(v, str) else "")
+def _repaired(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: repaired(v) if isinstance(v, str) else "")
 
 
 def repair(c: Column) -> Column:
-    """Hyphens, soft hyphens, scripts, number suffixes, spaces, composed letters: in this order."""
-    x = F.replace(join_hyphens(c), F.lit("­"), F.lit(""))
-    return nfc(F.translate(number_suffixes(mixed_scripts(x)), SPACES, " " * len(SPACES)))
+    """Hyphens and soft hyphens as expressions, the rest in one Arrow pass."""
+    return _repaired(F.replace(join_hyphens(c), F.lit("­"), F.lit("")))
 
 
 def mixed_count(c: Column) -> Column:

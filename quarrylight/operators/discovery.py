@@ -7,28 +7,49 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import urls
 
+from .checkpoints import checkpoint
 
-def reachable(seeds: DataFrame, edges: DataFrame, depth: int, follow=None) -> DataFrame:
+
+def reachable(seeds: DataFrame, edges: DataFrame, depth: int, follow=None, *, most_pages: int | None = None, most_paged: int | None = None, most_found: int | None = None) -> DataFrame:
     """url, depth of all that can be reached from seeds (url) over edges (src, dst) in `depth` steps, by frontier joins.
 
-    `follow` is a predicate on URLs that are looked into; others are only recorded.
-    The number of joins is the depth, whatever the size of the graph.
+    `follow` is a predicate on URLs that are looked into; item pages are never
+    looked into, only recorded.  The three limits are the crawl's: pages looked
+    into, pagination pages among them, URLs found; within a step the smaller URL
+    comes first.  Frontier and findings are checkpointed, so that a step's plan
+    holds one join whatever the depth.
     """
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    seen = checkpoint(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    frontier, pages, paged, found = seen, 0, 0, seen.count()
     for step in range(1, depth + 1):
         source = frontier if follow is None else frontier.where(follow(F.col("url")))
+        source = source.where(~F.coalesce(urls.is_detail(F.col("url")), F.lit(False)))
+        if most_paged is not None:
+            listed = source.where(urls.is_pagination(F.col("url"))).orderBy("url").limit(max(0, most_paged - paged))
+            source = checkpoint(source.where(~F.coalesce(urls.is_pagination(F.col("url")), F.lit(False))).unionByName(listed))
+            paged += source.where(urls.is_pagination(F.col("url"))).count()
+        if most_pages is not None:
+            source = checkpoint(source.orderBy("url").limit(max(0, most_pages - pages)))
+            pages += source.count()
         new = edges.join(source.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        frontier = new.join(seen, "url", "left_anti").withColumn("depth", F.lit(step))
-        seen = seen.unionByName(frontier)
+        frontier = new.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(step))
+        if most_found is not None:
+            frontier = frontier.orderBy("url").limit(max(0, most_found - found))
+        frontier = checkpoint(frontier)
+        n = frontier.count()
+        found += n
+        seen = checkpoint(seen.unionByName(frontier))
+        if not n:
+            break
     return seen
 
 
 def candidates(sitemap: DataFrame, html: DataFrame) -> DataFrame:
     """Both sources (url, source) with one row for each key; what a page links to wins over the sitemap."""
-    both = sitemap.unionByName(html, allowMissingColumns=True).withColumn("_k", urls.dedupe_key(F.col("url")))
-    order = Window.partitionBy("_k").orderBy(F.when(F.col("source") == "html", 0).otherwise(1), "url")
-    return both.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "_k")
+    both = sitemap.unionByName(html, allowMissingColumns=True)
+    keyed = both.select(F.struct(*both.columns).alias("row"), urls.dedupe_key(F.col("url")).alias("k"))
+    order = Window.partitionBy("k").orderBy(F.when(F.col("row.source") == "html", 0).otherwise(1), "row.url")
+    return keyed.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def new_candidates(found: DataFrame, known: DataFrame, limit: int) -> DataFrame:

@@ -151,14 +151,15 @@ def results(hits: DataFrame, raw: str) -> DataFrame:
     """
     known = projection(hits, (*SOURCE, *(c for c in KEPT if c not in SOURCE)))
     row = known.withColumn("chunk_id", F.col("chunk_id").cast("string") if "chunk_id" in hits.columns else F.lit(None).cast("string")).withColumn("score", F.col("score").cast("double") if "score" in hits.columns else F.lit(0.0)).withColumn("text", F.coalesce("text", F.lit("")))
-    judged = readability(row)
+    judged = readability(row.select(F.struct(*row.columns).alias("row"), "text"))
     bad = (F.length(F.trim("text")) >= 80) & (F.col("reason") != "readable")
-    found = highlight(snippets(judged.select(*row.columns, bad.alias("garbled")), snippet_query(raw)), raw).withColumn("shown", F.coalesce(F.get("highlights", F.lit(0)), F.col("snippet"))).drop("highlights", "snippet")
-    shown = _stripped(found, ["title", "attachment_title", "section", "shown"])
     blank = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    plain = _stripped(judged.select("row.*", bad.alias("garbled")), ["title", "attachment_title", "section"])
     own = F.when(is_generic_title(F.col("title")), None).otherwise(blank("title"))
     name = clean_site_text(F.coalesce(blank("attachment_title"), own, F.when(~F.col("garbled"), F.nullif(title_from_text(F.col("text")), F.lit(""))), blank("title"), F.lit("")), 360, tags=False)
-    titled = shown.withColumn("title", name)
+    # Each pass over the page also keeps the long expressions of the one before from being put into all that follows.
+    found = highlight(snippets(plain.withColumn("title", name), snippet_query(raw)), raw).withColumn("shown", F.coalesce(F.get("highlights", F.lit(0)), F.col("snippet"))).drop("highlights", "snippet")
+    titled = _stripped(found, ["shown"])
     code = F.coalesce(blank("content_category"), display_category(F.col("url")))
     label = F.coalesce(blank("site_section"), display_category(F.col("url")))
     section = clean_site_text(F.coalesce("section", F.lit("")), 240, tags=False)

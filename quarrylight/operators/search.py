@@ -44,6 +44,7 @@ ALL_IN_TITLE, BESIDE_PHRASE = 4.0, 2.0
 NUMBER_SCORES = (40.0, 32.0, 24.0)
 K1 = 1.2
 CATEGORIES = ("news", "legal", "announcement", "media", "file")
+DOC_TYPES = ("page", "pdf", "file")
 # What a quoted phrase and a word with a minus are.
 _PHRASE = re.compile(r"[«\"“]([^«»\"“”]{2,120})[»\"”]")
 _MINUS = re.compile(r"(?:^|\s)[-−–—]([^\s\"«»]{2,60})")
@@ -326,8 +327,9 @@ def fuzzy_query(index: Index, raw: str, most: int = 24, **how) -> DataFrame:
 
 def collapse(hits: DataFrame) -> DataFrame:
     """The best chunk of each URL; ties go to the earlier chunk."""
-    order = Window.partitionBy("url").orderBy(F.desc("score"), "chunk_number" if "chunk_number" in hits.columns else "chunk_id")
-    return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    order = Window.partitionBy("row.url").orderBy(F.desc("row.score"), "row.chunk_number" if "chunk_number" in hits.columns else "row.chunk_id")
+    whole = hits.select(F.struct(*hits.columns).alias("row"))
+    return whole.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
 
 
 def facets(hits: DataFrame, selected: str | None = None, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
@@ -352,18 +354,18 @@ class Result:
     mode: str
 
 
-def search(index: Index, raw: str = "", *, category: str | None = None, sort: str = "relevance", limit: int = 10, offset: int = 0, **how) -> Result:
+def search(index: Index, raw: str = "", *, category: str | None = None, sort: str = "relevance", limit: int = 10, offset: int = 0, categories: tuple[str, ...] = CATEGORIES, **how) -> Result:
     """The whole search; a query that finds nothing on the first page is tried again with near words."""
-    check_options(raw, sort=sort, limit=limit, offset=offset, category=category, **how)
+    check_options(raw, sort=sort, limit=limit, offset=offset, category=category, categories=categories, **how)
     hits, mode = run_query(index, raw, **how), "exact"
     if offset == 0 and terms_of(raw, "lemma") and hits.isEmpty():
         hits, mode = fuzzy_query(index, raw, **how), "fuzzy"
     shown = hits.where(F.col("content_category") == category.strip().lower()) if category else hits
     total = shown.agg(F.countDistinct("url").alias("total"), F.least(F.count(F.lit(1)), F.lit(10_000)).alias("hits"))
-    return Result(page(collapse(shown), sort, limit, offset, bool(raw.strip())), facets(hits, category), total, mode)
+    return Result(page(collapse(shown), sort, limit, offset, bool(raw.strip())), facets(hits, category, categories), total, mode)
 
 
-def check_options(raw: str, *, sort: str = "relevance", limit: int = 10, offset: int = 0, category: str | None = None, date_from: str | None = None, date_to: str | None = None, **rest) -> None:
+def check_options(raw: str, *, sort: str = "relevance", limit: int = 10, offset: int = 0, category: str | None = None, date_from: str | None = None, date_to: str | None = None, categories: tuple[str, ...] = CATEGORIES, **rest) -> None:
     """Raise ValueError for what the search interface refuses."""
     if len((raw or "").strip()) == 1 or len(raw or "") > 300:
         raise ValueError("a query has 2 to 300 characters")
@@ -375,6 +377,13 @@ def check_options(raw: str, *, sort: str = "relevance", limit: int = 10, offset:
         raise ValueError("limit is 1 to 50, offset 0 to 9000")
     if date_from and date_to and date_from > date_to:
         raise ValueError("date_from is after date_to")
+    if category is not None and category.strip().lower() not in categories:
+        raise ValueError(f"no such category: {category}")
+    if rest.get("doc_type") is not None and rest["doc_type"] not in DOC_TYPES:
+        raise ValueError(f"no such type: {rest['doc_type']}")
+    for name, most in (("number", 100), ("kind", 100)):
+        if len(rest.get(name) or "") > most:
+            raise ValueError(f"{name} has at most {most} characters")
 
 
 def publish(index: Index, folder: str, version: str) -> None:

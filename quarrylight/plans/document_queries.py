@@ -12,7 +12,7 @@ from quarrylight.operators import search as S
 from quarrylight.sources import formats
 from quarrylight.streaming import leases
 
-from .search_queries import SEARCH_SQL, SEARCHED, chunks
+from .search_queries import LANGUAGES, SEARCH_SQL, SEARCHED, chunks
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -56,8 +56,8 @@ def q_answer(spark: SparkSession, d: str) -> DataFrame:
 def q_results(spark: SparkSession, d: str) -> DataFrame:
     """A page of the search as results, with the fields that don't depend on how a text is cut."""
     index = S.build_index(chunks(spark, d))
-    shown = present.results(S.search(index, SEARCHED, category="en").items, SEARCHED)
-    return shown.select("id", "url", F.round("score", 6).alias("score"), "content_category", "ocr_used", F.contains("snippet", F.lit("thing")).alias("has_word"))
+    shown = present.results(S.search(index, SEARCHED, category="en", categories=LANGUAGES).items, SEARCHED)
+    return shown.select("id", "url", F.round("score", 6).alias("score"), "content_category", "ocr_used")
 
 
 def q_content_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -86,5 +86,5 @@ ORACLE = {
     "chr(10) || 'ATTACHMENT:u1|a' || chr(10) || 'ATTACHMENT:u2|b' || chr(10) || chr(12) || chr(10) || 'PAGE:1' || chr(10) || coalesce(text, '')) AS hash FROM documents",
     "q_answer": f"WITH t AS (SELECT *, row_number() OVER (ORDER BY n_chars DESC, CAST(doc_id AS VARCHAR)) AS k FROM documents), s AS (SELECT k, {_SQUEEZED} AS x FROM t WHERE k <= 5), f AS (SELECT k, x FROM s WHERE x <> '' AND NOT EXISTS (SELECT 1 FROM s AS e WHERE e.k < s.k AND lower(e.x) = lower(s.x))) "
     "SELECT 'По наиболее релевантным материалам:' || chr(10) || chr(10) || string_agg('• ' || CASE WHEN length(x) <= 340 THEN x ELSE rtrim(left(x, 340), ' ,.;:-') || '…' END, chr(10) || chr(10) ORDER BY k) AS answer, (SELECT count(*) FROM s) AS source_count FROM f",
-    "q_results": SEARCH_SQL + "SELECT CAST(doc_id AS VARCHAR) AS id, url, round(score, 6) AS score, lang AS content_category, false AS ocr_used, true AS has_word FROM hit WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, doc_id) = 1 ORDER BY score DESC, url LIMIT 10",
+    "q_results": SEARCH_SQL + "SELECT CAST(doc_id AS VARCHAR) AS id, url, round(score, 6) AS score, lang AS content_category, false AS ocr_used FROM hit WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, doc_id) = 1 ORDER BY score DESC, url LIMIT 10",
 }

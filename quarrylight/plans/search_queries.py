@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.functions import analysis, readability, repair, text
+from quarrylight.functions import analysis, readability, text
 from quarrylight.operators import search as S
 
 
@@ -146,17 +146,19 @@ def q_filters(spark: SparkSession, d: str) -> DataFrame:
 
 
 SEARCHED = "the thing of"
+#: The categories of the stand-in chunks.
+LANGUAGES = ("en", "de", "fr", "es")
 
 
 def q_search(spark: SparkSession, d: str) -> DataFrame:
     """The whole search, lemmas, phrase clauses and all, with facets above the filter; rows of the first page."""
     index = S.build_index(chunks(spark, d))
-    return S.search(index, SEARCHED, category="en").items.select("url", "chunk_id", F.round("score", 6).alias("score"))
+    return S.search(index, SEARCHED, category="en", categories=LANGUAGES).items.select("url", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def q_search_facets(spark: SparkSession, d: str) -> DataFrame:
     """What the same search says beside its page: the facets, which don't see the category, and the total, which does."""
-    found = S.search(S.build_index(chunks(spark, d)), SEARCHED, category="en")
+    found = S.search(S.build_index(chunks(spark, d)), SEARCHED, category="en", categories=LANGUAGES)
     return found.facets.crossJoin(F.broadcast(found.total)).select("category", F.col("n").cast("long").alias("n"), "selected", F.col("total").cast("long").alias("total"), F.col("hits").cast("long").alias("hits"))
 
 
@@ -220,36 +222,10 @@ q AS (SELECT doc_id, lang, chars, CAST(score AS BIGINT) AS score, CASE WHEN char
 """
 
 
-def _values(spark: SparkSession, rows: list[str | None]) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id long, v string")
-
-
-def _constants(rows: list[tuple[str | None, str]]) -> str:
-    """SQL of expected literal rows."""
-    return "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{want}')" for i, (_, want) in enumerate(rows)) + ") AS t(id, want)"
-
-
-#: Ways to write one number, and what they must become.
-NUMBERS = [("512-р", "512-р"), ("512-Р", "512-р"), ("№ 512-р", "512-р"), ("№512 - р", "512-р"), ("512 – р", "512-р"), ("512—р", "512-р"), (" 512-p ", "512-р"), ("N512-P", "512-р"), ("No 512-р", "512-р"), ("№ 512-р", "512-р"), ("84-PC", "84-рс"), ("131-ФЗ", "131-фз"), (None, "")]
-HYPHENS = [("благоустрой-\nство", "благоустройство"), ("город-курорт", "город-курорт"), ("Ивано-\nПетров", "Ивано-\nПетров"), ("пере­\n нос", "перенос"), ("12-\nр", "12-\nр")]
-SCRIPTS = [("Cочи", "Сочи"), ("pешение", "решение"), ("город", "город"), ("city", "city"), ("Zлово", "Zлово"), ("cityо", "cityo"), ("512-p от", "512-р от"), ("№ 512…", "№ 512…")]
-TECHNICAL = [("028e97063df6b807dc50e5901603af2e.docx", "true"), ("tg7dcgl1954sjipys673nrc12y1zd6o0.docx", "true"), ("0f8fad5b-d9cb-469f-a165-70867728950e", "true"), ("postanovlenie-512.pdf", "false"), ("abcdefghijklmnopqrstuvwxyz", "false"), ("short1.pdf", "false")]
-NUMBER_SHAPES = [("№ 512", "true"), ("512-р", "true"), ("благоустройство", "false")]
-DATES = [("2024-03-14", "14 марта 2024"), ("2024-13-01", "2024-13-01"), ("скоро", "скоро")]
-GUARD = [("=1+1", "''=1+1"), ("+7", "''+7"), ("-x", "''-x"), ("@a", "''@a"), ("plain", "plain"), (None, "")]
-PARTS = [("512-р", "512 р 512р"), ("84 рс", "84 рс"), ("№ 7", "7")]
-
-
-def _literal(rows: list[tuple[str | None, str]], f):
-    return lambda spark, d: _values(spark, [v for v, _ in rows]).select("id", f(F.col("v")).cast("string").alias("want"))
-
-
 QUERIES = {
     "q_bm25": q_bm25, "q_lemma": q_lemma, "q_phrase_lemma": q_phrase_lemma, "q_search_facets": q_search_facets, "q_fuzzy_search": q_fuzzy_search, "q_msm": q_msm, "q_crossfields": q_crossfields, "q_phrase": q_phrase, "q_phrase_slop": q_phrase_slop, "q_minus": q_minus, "q_phrase_or": q_phrase_or, "q_fuzzy": q_fuzzy, "q_facets": q_facets,
     "q_postfilter": q_postfilter, "q_total": q_total, "q_collapse": q_collapse, "q_collapse_lines": q_collapse_lines, "q_sort_date": q_sort_date, "q_filters": q_filters, "q_search": q_search, "q_compact": q_compact, "q_lines": q_lines,
     "q_tokens": q_tokens, "q_stop": q_stop, "q_truncate": q_truncate, "q_quality": q_quality, "q_garbled": q_garbled,
-    "q_docnum": _literal(NUMBERS, repair.document_number), "q_hyphen": _literal(HYPHENS, repair.join_hyphens), "q_repair": _literal(SCRIPTS, repair.repair), "q_techname": _literal(TECHNICAL, text.technical_name),
-    "q_number_shape": _literal(NUMBER_SHAPES, repair.looks_like_number), "q_date_display": _literal(DATES, text.format_date), "q_csv_guard": _literal(GUARD, text.csv_guard), "q_number_terms": _literal(PARTS, lambda c: F.array_join(analysis.number_terms(c), " ")),
 }
 
 _V, _C = "[aeiouy]", "[^aeiouy]"
@@ -349,7 +325,7 @@ ORACLE = {
     "q_lemma": _lemmas(_ONE_FIELD) + " SELECT term, lemma FROM lem",
     "q_phrase_lemma": f"{_lemmas(_ONE_FIELD)}, {_LEMMA_TOKENS} SELECT DISTINCT a.doc_id FROM ll AS a JOIN ll AS b ON a.doc_id = b.doc_id AND b.p = a.p + 1 WHERE a.w = '{analysis.lemma('thing')}' AND b.w = '{analysis.lemma('the')}'",
     "q_search": SEARCH_SQL + "SELECT url, doc_id AS chunk_id, round(score, 6) AS score FROM hit WHERE lang = 'en' QUALIFY row_number() OVER (PARTITION BY url ORDER BY score DESC, doc_id) = 1 ORDER BY score DESC, url LIMIT 10",
-    "q_search_facets": SEARCH_SQL + ", k AS (SELECT unnest(['all', 'news', 'legal', 'announcement', 'media', 'file']) AS category) SELECT category, CASE WHEN category = 'all' THEN (SELECT count(DISTINCT url) FROM hit) ELSE (SELECT count(DISTINCT url) FROM hit WHERE lang = category) END AS n, category = 'en' AS selected, (SELECT count(DISTINCT url) FROM hit WHERE lang = 'en') AS total, (SELECT least(count(*), 10000) FROM hit WHERE lang = 'en') AS hits FROM k",
+    "q_search_facets": SEARCH_SQL + ", k AS (SELECT unnest(['all', 'en', 'de', 'fr', 'es']) AS category) SELECT category, CASE WHEN category = 'all' THEN (SELECT count(DISTINCT url) FROM hit) ELSE (SELECT count(DISTINCT url) FROM hit WHERE lang = category) END AS n, category = 'en' AS selected, (SELECT count(DISTINCT url) FROM hit WHERE lang = 'en') AS total, (SELECT least(count(*), 10000) FROM hit WHERE lang = 'en') AS hits FROM k",
     "q_fuzzy_search": f"{_lemmas(_ONE_FIELD)}, n AS (SELECT DISTINCT lemma, CASE WHEN lemma IN ('trhon', 'thorn', 'thrno') THEN 1 ELSE levenshtein(lemma, 'thron') END AS e FROM lem WHERE lemma LIKE 't%' AND length(lemma) BETWEEN 4 AND 6) SELECT doc_id, round(max(1.0 / (1 + e)), 6) AS score FROM lt JOIN n USING (lemma) WHERE e <= 1 GROUP BY 1",
     "q_msm": _BM25.replace("'the', 'thorn', 'erhe', 'queeau'", ", ".join(f"'{t}'" for t in COMMON)) + "SELECT doc_id, round(score, 6) AS score, n_terms FROM s WHERE n_terms >= 3",
     "q_crossfields": _CROSS,
@@ -372,5 +348,4 @@ ORACLE = {
     "q_truncate": "WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CASE WHEN length(t) <= 180 THEN t ELSE rtrim(left(t, 180), ' ,.;:-') || '…' END AS short FROM c",
     "q_quality": _QUALITY + "SELECT doc_id, score, reason FROM q",
     "q_garbled": _QUALITY + "SELECT lang, chars >= 80 AND reason <> 'readable' AS garbled, count(*) AS n FROM q GROUP BY ALL",
-    "q_docnum": _constants(NUMBERS), "q_hyphen": _constants(HYPHENS), "q_repair": _constants(SCRIPTS), "q_techname": _constants(TECHNICAL), "q_number_shape": _constants(NUMBER_SHAPES), "q_date_display": _constants(DATES), "q_csv_guard": _constants(GUARD), "q_number_terms": _constants(PARTS),
 }
