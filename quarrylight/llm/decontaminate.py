@@ -6,10 +6,13 @@ window or more long, the last words are a hit, and the state (or the ancestor
 that holds the suffix of window length) tells the items.  Items shorter than a
 window count as one window of their own length.
 
-Items travel to the workers in slices of a bounded size (`SLICE_BYTES`); each
-slice is one streaming pass in the same task, so that a larger benchmark needs
-more passes but no larger broadcast.  A single item above the bound makes a
-slice of its own.
+Items are put into automata of a bounded size (`SLICE_BYTES`), which one worker
+goes through in turn: few stay in its memory, of more each is made once for
+`HELD_BYTES` of text.  Slices are sent in groups of at most `GROUP_BYTES`, and
+each group is one pass over the documents, with what was found so far
+checkpointed in between; so neither the driver nor a broadcast ever holds more
+of the benchmark than that.  A single item above a bound makes a slice or group
+of its own.
 
 Edge cases: null and empty texts have no words; null and wordless items are no
 windows; an item without an id is called "null"; items that share an id count
@@ -28,8 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of item text in one automaton.
-SLICE_BYTES = 1 << 20
+from ._common import checkpoint
+
+#: Bytes of item text in one automaton, and of the slices that are sent at once.
+SLICE_BYTES, GROUP_BYTES = 1 << 20, 64 << 20
+#: Automata that a worker keeps; where there are more, texts of HELD_BYTES go through each in turn.
+KEPT, HELD_BYTES = 4, 64 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -172,30 +179,56 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 _held: dict[str, Automaton] = {}
+Slice = tuple[str, list[tuple[str, str]]]
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> Automaton:
+def _automaton(named: Slice, window: int) -> Automaton:
     """One automaton for each slice and worker."""
-    key = hashlib.sha256(repr((window, items)).encode()).hexdigest()
+    name, items = named
+    key = f"{window} {name}"
     if key not in _held:
-        if len(_held) >= 4:
-            _held.clear()
+        while len(_held) >= KEPT:
+            _held.pop(next(iter(_held)))
         _held[key] = Automaton(items, window)
     return _held[key]
 
 
-def _slices(benchmark: DataFrame) -> list[list[tuple[str, str]]]:
-    """Items in slices of a bounded size, read one by one."""
-    out: list[list[tuple[str, str]]] = [[]]
-    size = 0
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").where("text IS NOT NULL").distinct().orderBy(F.col("text"), F.lit(1)).toLocalIterator():
-        n = len(row[1].encode())
-        if out[-1] and size + n > SLICE_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append((row[0], row[1]))
+def _groups(benchmark: DataFrame) -> Iterator[tuple[list[Slice], bool]]:
+    """Items in groups of slices of a bounded size, read one by one, and whether a group is the last."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct().orderBy("text", "item")
+    named = lambda items: (hashlib.sha256(repr(items).encode()).hexdigest(), items)
+    ready: list[Slice] | None = None
+    group: list[Slice] = []
+    items: list[tuple[str, str]] = []
+    size = total = 0
+    for item, text in rows.toLocalIterator():
+        n = len(text.encode())
+        if items and size + n > SLICE_BYTES:
+            group.append(named(items))
+            items, size = [], 0
+            if total + n > GROUP_BYTES:
+                if ready is not None:
+                    yield ready, False
+                ready, group, total = group, [], 0
+        items.append((item, text))
         size += n
-    return out
+        total += n
+    group.append(named(items))
+    if ready is not None:
+        yield ready, False
+    yield group, True
+
+
+def _together(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about `most` bytes; one by one for 0."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.column(1).nbytes for b in held) >= most:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_span: int | None = None, max_coverage: float = 1.0) -> DataFrame:
@@ -212,24 +245,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_s
     state = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("longest", T.LongType()), T.StructField("clean_text", T.StringType())])
     kept = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType()), *state.fields])
     now = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(0).cast("long").alias("longest"), F.lit(None).cast("string").alias("clean_text"))
-    slices = _slices(benchmark)
-    for at, items in enumerate(slices):
-        sent, last = spark.sparkContext.broadcast(items), at == len(slices) - 1
-
-        def run(batches: Iterable[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
-            automaton = _automaton(sent.value, window)
-            for batch in batches:
-                rows = []
-                for text, spans, items, longest in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4, 5))):
-                    words = words_of(text.encode() if text else b"")
-                    found, more, most = automaton.hits(words)
-                    spans = merge([*((s["start"], s["end"]) for s in spans), *found]) if found else [(s["start"], s["end"]) for s in spans]
-                    clean = (cut_words(text, spans) if spans else text) if last else None
-                    rows.append((len(words), [{"start": a, "end": b} for a, b in spans], sorted({*items, *more}), max(longest, most), clean))
-                columns = [pa.array([r[k] for r in rows], batch.schema.field(k + 2).type) for k in range(5)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], schema=batch.schema)
+    for slices, last in _groups(benchmark):
+        sent, most = spark.sparkContext.broadcast(slices), HELD_BYTES if len(slices) > KEPT else 0
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent, last=last, most=most) -> Iterator[pa.RecordBatch]:
+            for held in _together(batches, most):
+                rows = [list(r) for b in held for r in zip(*(b.column(k).to_pylist() for k in (1, 3, 4, 5)))]
+                words = [words_of(r[0].encode() if r[0] else b"") for r in rows]
+                for r in rows:
+                    r[1] = [(s["start"], s["end"]) for s in r[1]]
+                for named in sent.value:
+                    automaton = _automaton(named, window)
+                    for r, ws in zip(rows, words):
+                        found, more, longest = automaton.hits(ws)
+                        r[1] = merge([*r[1], *found]) if found else r[1]
+                        r[2], r[3] = sorted({*r[2], *more}) if more else r[2], max(r[3], longest)
+                at = 0
+                for batch in held:
+                    part, at = range(at, at + batch.num_rows), at + batch.num_rows
+                    columns = [[len(words[k]) for k in part], [[{"start": a, "end": b} for a, b in rows[k][1]] for k in part], [rows[k][2] for k in part], [rows[k][3] for k in part]]
+                    columns.append([(cut_words(rows[k][0], rows[k][1]) if rows[k][1] else rows[k][0]) if last else None for k in part])
+                    made = [pa.array(c, batch.schema.field(k + 2).type) for k, c in enumerate(columns)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], schema=batch.schema)
 
         now = now.mapInArrow(run, kept)
+        if not last:
+            now = checkpoint(now)
+            sent.unpersist()
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     out = now.withColumn("n_hit", n_hit)
     too_long = F.exists("spans", lambda x: x["end"] - x["start"] > max_span) if max_span is not None else F.lit(False)

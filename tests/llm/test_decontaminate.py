@@ -25,9 +25,10 @@ def slow(text, items, n=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("size", [1 << 20, 400])
-def test_against_brute_force(spark, monkeypatch, size):
+@pytest.mark.parametrize(("size", "group"), [(1 << 20, 64 << 20), (400, 64 << 20), (400, 900)])
+def test_against_brute_force(spark, monkeypatch, size, group):
     monkeypatch.setattr(D, "SLICE_BYTES", size)
+    monkeypatch.setattr(D, "GROUP_BYTES", group)
     rng = random.Random(2)
     vocabulary = ["ab", "c", "Dé", "e5", "f", "g"]
     make = lambda n: [rng.choice(vocabulary) for _ in range(n)]
