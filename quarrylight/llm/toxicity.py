@@ -239,10 +239,17 @@ def _evidence(toxic: float, clean: float, base: float) -> float:
     return part(toxic, q, base) + part(clean, 1 - q, 1 - base) if q > base else 0.0
 
 
-def learn_stems(rows: DataFrame, most_stems: int = 20_000, evidence: float = 14.0) -> dict[str, str]:
+def _evident(toxic: F.Column, clean: F.Column, base: float, least: float) -> F.Column:
+    """`_evidence` of at least `least`, as an expression."""
+    q = F.try_divide(toxic, toxic + clean)
+    clean_part = F.when(clean > 0, clean * F.log((1 - q) / (1 - base))).otherwise(F.lit(0.0))
+    return F.coalesce((toxic > 0) & (q > base) & (toxic * F.log(q / base) + clean_part >= least - 1e-9), F.lit(False))
+
+
+def learn_stems(rows: DataFrame, evidence: float = 14.0) -> dict[str, str]:
     """Prefixes that mark toxic texts, as i (nearly never in others) or j (twice or more mostly in toxic ones).
 
-    most_stems bounds what comes to the driver: the prefixes with most evidence.
+    Only prefixes with enough evidence come to the driver; the sample's bound is theirs.
     """
     totals = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
@@ -250,9 +257,9 @@ def learn_stems(rows: DataFrame, most_stems: int = 20_000, evidence: float = 14.
         return {}
     base = n_toxic / (n_toxic + n_clean)
     counts = rows.mapInArrow(_prefix_counts, "stem string, t1 long, c1 long, t2 long, c2 long").groupBy("stem").agg(*(F.sum(c).alias(c) for c in ("t1", "c1", "t2", "c2")))
-    enough = -evidence / float(np.log(base))
-    strong, hint = (F.col("t1") >= enough) & (F.col("c1") <= 0.02 * F.col("t1")), (F.col("t2") >= enough) & (F.col("c2") <= 0.35 * F.col("t2"))
-    few = counts.where(strong | hint).orderBy(F.desc(F.col("t1") - F.col("c1") + F.col("t2") - F.col("c2")), "stem").limit(most_stems)
+    strong = (F.col("c1") <= 0.02 * F.col("t1")) & _evident(F.col("t1"), F.col("c1"), base, evidence)
+    hint = (F.col("c2") <= 0.35 * F.col("t2")) & _evident(F.col("t2"), F.col("c2"), base, evidence)
+    few = counts.where(strong | hint)
     found = {r["stem"]: (r["t1"], r["c1"], r["t2"], r["c2"]) for r in few.collect()}
     good: dict[str, tuple[str, int]] = {}
     for s, (t1, c1, t2, c2) in found.items():
