@@ -2,7 +2,7 @@
 
 Texts travel through a shuffle at most once, as zstd *packs*: one binary row
 holds the documents that one map task sends to one bucket.  A bucket is a hash
-class of ``doc_id``; its size is bounded because the number of buckets follows
+class of ``doc_id`` (of text and place for rows without one); its size is bounded because the number of buckets follows
 the measured bytes of text.  Operators that need facts about the whole corpus
 (is this window repeated? what is this n-gram's probability?) send compact
 sorted *requests* from buckets to shards and get *replies* back by bucket, so
@@ -15,6 +15,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -168,7 +169,11 @@ def pack_docs(docs: DataFrame, n_buckets: int) -> DataFrame:
 
         for batch in batches:
             ids, texts = _ids_and_texts(batch)
-            for k, i, t in zip(bucket_of(ids, n_buckets).tolist(), ids.tolist(), texts):
+            deal = ids
+            if (null := np.flatnonzero(ids == NULL_ID)).size:  # rows without an id may be many: they are dealt by their text and place
+                deal = ids.copy()
+                deal[null] = [zlib.crc32(texts[k] or b"") + (k % 256 << 32) for k in null.tolist()]
+            for k, i, t in zip(bucket_of(deal, n_buckets).tolist(), ids.tolist(), texts):
                 held.setdefault(k, []).append((i, t))
                 size += len(t or b"") + 64
             if size >= FLUSH_BYTES:
