@@ -165,6 +165,13 @@ def test_stream_of_events_makes_snapshots(spark, tmp_path):
     events = spark.readStream.schema("url string, event string, at long").parquet(str(tmp_path / "e"))
     last = leases.work_off(spark, events, str(tmp_path / "s"), str(tmp_path / "c"))
     assert last == 1 and {r.url: r.status for r in leases.snapshot(spark, str(tmp_path / "s"), last).collect()} == {"a": "gone", "b": "quarantined"}
+    # A new checkpoint folder sees the same events again: it goes on after the last snapshot, the old ones stay.
+    again = leases.work_off(spark, events, str(tmp_path / "s"), str(tmp_path / "c2"))
+    assert again == 2 and {r.url: r.status for r in leases.snapshot(spark, str(tmp_path / "s"), 1).collect()} == {"a": "gone", "b": "quarantined"}
+    assert leases.work_off(spark, events, str(tmp_path / "s"), str(tmp_path / "c2")) == 2
+    spark.createDataFrame([("a", "indexed", 5)], "url string, event string, at long").write.mode("append").parquet(str(tmp_path / "e"))
+    assert leases.work_off(spark, events, str(tmp_path / "s"), str(tmp_path / "c2"), deadline=-1.0) == 2
+    assert leases.work_off(spark, events, str(tmp_path / "s"), str(tmp_path / "c2")) == 3
 
 
 def test_titles_and_snippets(spark):
