@@ -8,6 +8,11 @@ reach the worst k-th score of the queries below the query node:
 
     <q, p> <= <cq, cp> + rq |cp| + rp |cq| + rq rp
 
+Where children would hardly be tighter than their node, as among points that lie
+in all directions, it stays whole, and its pairs with a query node are scored by
+matrix products: in single precision where no sum on the way can leave 2**24, so
+that they are exact, else in double precision.
+
 The data's trees are built once and written as blocks; queries come to the tasks
 in chunks of a bounded size, one chunk after another.  A task keeps the k best
 of each query over all the blocks it reads and sends k rows for each on, so the
@@ -40,6 +45,10 @@ from . import _common as C
 QUERIES, BLOCK, LEAF = 16_384, 8_192, 64
 #: A child covers its points within this part of its parent's radius, unless a node would have more than MOST children.
 SHRINK, MOST = 0.6, 48
+#: A node stays whole if its children would leave their points this part of the mean distance: their bounds would leave nothing out.
+LOOSE = 0.7
+#: Queries and points whose scores are held at once; fewer points while a query has less than k candidates.
+ROWS, COLUMNS, FEW = 1024, 512, 256
 
 #: Scores are held within this, which a long and a double both have.
 FARTHEST = 2.0**62
@@ -50,34 +59,54 @@ class Node:
     centre: np.ndarray
     norm: float
     radius: float
-    points: np.ndarray  # of all points below, as places in the tree's arrays
+    begin: int  # all points below stand from here
+    end: int  # to here in the tree's vectors
     children: list[Node]
 
 
 class CoverTree:
-    """Centres are points of the set; every point below a node is within its radius of the centre."""
+    """Centres are points of the set; every point below a node is within its radius of the centre.
+
+    ``vectors`` are put so that the points below a node stand together; ``order`` has their places before that.
+    """
 
     def __init__(self, vectors: np.ndarray) -> None:
-        self.vectors = vectors
-        self.root = self._node(0, np.arange(len(vectors))) if len(vectors) else None
+        self.vectors, self.squares = vectors, (vectors**2).sum(axis=1)
+        self.longest = float(np.sqrt(self.squares.max())) if len(vectors) else 0.0
+        found: list[np.ndarray] = []
+        self.root = self._node(0, np.arange(len(vectors)), 0, found) if len(vectors) else None
+        self.order = np.concatenate(found) if found else np.empty(0, np.int64)
+        self.vectors = self._smallest(vectors[self.order])
+        del self.squares
+
+    def _smallest(self, vectors: np.ndarray) -> np.ndarray:
+        """As 16-bit integers where that changes nothing: trees are stored and sent."""
+        small = vectors.astype(np.int16) if self.longest < 1 << 15 else vectors
+        return small if (small == vectors).all() else vectors
 
     def _away(self, centre: int, points: np.ndarray) -> np.ndarray:
+        if self.longest < 1 << 25:  # sums of integers are exact so far
+            return np.sqrt(np.maximum(self.squares[points] - 2 * (self.vectors[points] @ self.vectors[centre]) + self.squares[centre], 0))
         return np.sqrt(((self.vectors[points] - self.vectors[centre]) ** 2).sum(axis=1))
 
-    def _node(self, centre: int, points: np.ndarray) -> Node:
+    def _node(self, centre: int, points: np.ndarray, begin: int, found: list[np.ndarray]) -> Node:
         away = self._away(centre, points)
         radius = float(away.max())
-        node = Node(self.vectors[centre], float(np.sqrt((self.vectors[centre] ** 2).sum())), radius * (1 + 1e-9) + 1e-6, points, [])
-        if len(points) <= LEAF or radius == 0 or not np.isfinite(radius):
-            return node
-        near, owner, centres = away, np.zeros(len(points), np.int64), [centre]
-        while near.max() > SHRINK * radius and len(centres) < MOST:  # separated centres, farthest first
-            far = int(points[near.argmax()])
-            d = self._away(far, points)
-            closer = d < near
-            owner[closer], near = len(centres), np.where(closer, d, near)
-            centres.append(far)
-        node.children = [self._node(c, points[owner == k]) for k, c in enumerate(centres) if (owner == k).any()]
+        node = Node(self.vectors[centre], float(np.sqrt(self.squares[centre])), radius * (1 + 1e-9) + 1e-6, begin, begin + len(points), [])
+        if len(points) > LEAF and radius > 0 and np.isfinite(radius):
+            near, owner, centres = away, np.zeros(len(points), np.int64), [centre]
+            while near.max() > SHRINK * radius and len(centres) < MOST:  # separated centres, farthest first
+                far = int(points[near.argmax()])
+                d = self._away(far, points)
+                closer = d < near
+                owner[closer], near = len(centres), np.where(closer, d, near)
+                centres.append(far)
+            if near.sum() * (len(points) - 1) <= LOOSE * away.sum() * (len(points) - len(centres)):  # centres are near themselves and don't count
+                for k, c in enumerate(centres):
+                    if len(own := points[owner == k]):
+                        node.children.append(self._node(c, own, node.children[-1].end if node.children else begin, found))
+                return node
+        found.append(points)
         return node
 
 
@@ -90,14 +119,38 @@ class Best:
         self.id = np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
-        scores = np.where(ids[None, :] == self.ids[rows][:, None], -np.inf, scores)
-        worst, last = self.score[rows, -1][:, None], self.id[rows, -1][:, None]
-        better = (scores > worst) | ((scores == worst) & (ids[None, :] < last) & np.isfinite(scores))
-        for r in np.flatnonzero(better.any(axis=1)).tolist():
-            q, new = rows[r], better[r]
-            s, i = np.r_[self.score[q], scores[r, new]], np.r_[self.id[q], ids[new]]
-            order = np.lexsort((i, -s))[: self.k]
-            self.score[q], self.id[q] = s[order], i[order]
+        """scores of the queries in `rows` with the candidates `ids`."""
+        worst = self.score[rows, -1]
+        if len(ids) > self.k and np.isinf(worst).any():  # k of these are so good at least
+            others = np.where(ids[None, :] == self.ids[rows][:, None], -np.inf, scores)
+            worst = np.maximum(worst, np.partition(others, -self.k, axis=1)[:, -self.k])
+        # Scores in single precision are exact, and so are the worst ones that they are held against.
+        worst = worst.astype(scores.dtype)
+        reach = np.flatnonzero(scores.max(axis=1) >= worst)  # most queries find nothing
+        if not len(reach):
+            return
+        rows, scores = rows[reach], scores[reach]
+        at = np.flatnonzero(scores >= worst[reach][:, None])
+        r, c = np.divmod(at, len(ids))
+        row, s, i = rows[r], scores.ravel()[at].astype(np.float64), ids[c]
+        last, last_id = self.score[row, -1], self.id[row, -1]
+        new = (i != self.ids[row]) & ((s > last) | (s == last) & (i < last_id))
+        if not new.any():
+            return
+        row, s, i = row[new], s[new], i[new]
+        old = np.unique(row)
+        row, s, i = np.r_[np.repeat(old, self.k), row], np.r_[self.score[old].ravel(), s], np.r_[self.id[old].ravel(), i]
+        order = np.lexsort((i, -s, row))
+        row, s, i = row[order], s[order], i[order]
+        first = np.searchsorted(row, old)  # each has k rows at least
+        at = first[:, None] + np.arange(self.k)
+        self.score[old], self.id[old] = s[at], i[at]
+
+
+def _scores(queries: CoverTree, data: CoverTree) -> type:
+    """The type in which all sums on the way to a score are exact, if there is one: none is above the product of the lengths."""
+    whole = all(t.vectors.dtype == np.int16 for t in (queries, data))
+    return np.float32 if whole and queries.longest * data.longest < 1 << 24 else np.float64
 
 
 def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best) -> int:
@@ -105,6 +158,8 @@ def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best
     looked = 0
     if queries.root is None or data.root is None:
         return looked
+    kind = _scores(queries, data)
+    points, ids = data.vectors.astype(kind), ids[data.order]
 
     def bound(q: Node, p: Node) -> float:
         b = float(q.centre @ p.centre) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
@@ -113,12 +168,21 @@ def dual_search(queries: CoverTree, data: CoverTree, ids: np.ndarray, best: Best
     todo = [(bound(queries.root, data.root), queries.root, data.root)]
     while todo:
         most, q, p = todo.pop()
-        if most < best.score[q.points, -1].min():
+        if most < best.score[queries.order[q.begin : q.end], -1].min():
             continue
         if not q.children and not p.children:
-            scores = np.clip(np.nan_to_num(queries.vectors[q.points] @ data.vectors[p.points].T, nan=0.0), -FARTHEST, FARTHEST)
-            looked += scores.size
-            best.offer(q.points, scores, ids[p.points])
+            looked += (q.end - q.begin) * (p.end - p.begin)
+            for a in range(q.begin, q.end, ROWS):
+                some = slice(a, min(a + ROWS, q.end))
+                rows, asked, at = queries.order[some], queries.vectors[some].astype(kind), p.begin
+                while at < p.end:
+                    step = FEW if np.isinf(best.score[rows, -1]).any() else COLUMNS
+                    part = slice(at, min(at + step, p.end))
+                    scores = asked @ points[part].T
+                    if kind == np.float64:
+                        scores = np.clip(np.nan_to_num(scores, nan=0.0), -FARTHEST, FARTHEST)
+                    best.offer(rows, scores, ids[part])
+                    at = part.stop
             continue
         split_q = q.children and (not p.children or q.radius >= p.radius)
         pairs = [(c, p) for c in q.children] if split_q else [(q, c) for c in p.children]

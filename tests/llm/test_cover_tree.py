@@ -64,3 +64,28 @@ def test_pairs_are_pruned():
     scores = queries @ data.T
     scores[np.arange(160), np.arange(0, 8000, 50)] = -np.inf
     assert (np.sort(scores, axis=1)[:, -5:][:, ::-1] == best.score).all()
+
+
+def test_what_is_not_pruned_is_scored_in_wide_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(4400, 64))
+    points = np.floor(256 * points / np.linalg.norm(points, axis=1, keepdims=True))
+    points[100:150] = points[7]  # ties
+    ids, calls, offer = np.arange(4400), [], Best.offer
+    monkeypatch.setattr(Best, "offer", lambda self, rows, scores, ids: (calls.append(scores.size), offer(self, rows, scores, ids))[1])
+    best = Best(ids[:4400:11], 5)
+    queries, data = CoverTree(points[::11]), CoverTree(points)
+    assert cover_tree._scores(queries, data) is np.float32
+    dual_search(queries, data, ids, best)
+    assert len(calls) <= 20 and sum(calls) == 400 * 4400
+    for q, i in enumerate(ids[::11].tolist()):
+        want = sorted((-s, j) for j, s in enumerate((points @ points[i]).tolist()) if j != i)[:5]
+        assert [(-s, j) for s, j in zip(best.score[q].tolist(), best.id[q].tolist())] == want
+
+
+def test_single_precision_only_where_it_is_exact():
+    long = CoverTree(np.array([[4096.0, 1.0], [4095.0, 2.0]]))
+    assert cover_tree._scores(long, long) is np.float64
+    best = Best(np.array([0, 1]), 1)
+    dual_search(long, long, np.array([0, 1]), best)
+    assert best.score.ravel().tolist() == [4096 * 4095 + 2] * 2
