@@ -45,8 +45,8 @@ FIRST = "\x01"
 CHUNK_IDS = 1 << 20
 #: Words that a worker remembers the ids of.
 CACHE_PIECES = 400_000
-#: Bytes of text that are encoded together.
-TOGETHER = 16 << 20
+#: Bytes of text that are encoded together: a worker needs about 25 times as much for it.
+TOGETHER = 4 << 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 16 << 20
 _CHUNK = "shard int, seq int, base long, n_docs int, n_ids long, width int, first long, last long, ids binary, doc_ids binary, low_bits int, low binary, high binary, samples binary"

@@ -72,3 +72,22 @@ def test_many_rows_of_one_id_and_a_long_document(spark, tmp_path):
     assert len(got) == len(rows) and [r.doc_id for r in got] == [5] * 2000 + [9] + [None] * 3000
     assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:])) and got[2000].n_tokens > 1 << 20
     assert spark.read.parquet(str(tmp_path / "t" / "chunks")).where("last > 9").count() > 1
+
+
+def test_memory_of_what_is_encoded_together():
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+    from quarrylight.llm import token_output
+    from quarrylight.llm.queries import TOKENIZER
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(100_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(token_output.TOGETHER // 2600)]
+    encoder = token_output._Encoder(public_tokenizers.path(TOKENIZER))
+    tracemalloc.start()
+    found = encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == len(texts) and peak < 100e6
