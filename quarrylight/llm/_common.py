@@ -49,6 +49,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_disk(spark: SparkSession) -> None:
+    """Shuffle files and checkpoints that nothing refers to any more go when the driver collects its garbage: now, not when its heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: A value that holds a thousandth of all rows, and so many rows at least, is hot: there are at most a thousand of them.
 HOT_SHARE, HOT_LEAST = 1000, 1000
 
