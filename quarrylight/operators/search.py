@@ -14,7 +14,10 @@ the corpus: no text, no table of lengths.  Phrases and excluded words are settle
 by positions.
 
 A query is small, so its terms are literals in the plan: the scan of postings is
-pruned by them, and all that is shuffled are the postings of those terms.
+pruned by them, and all that is shuffled are the postings of those terms.  Of an
+index that isn't published a query makes the postings of its own terms alone,
+once for all its clauses, in one pass over the texts that also counts the
+statistics (`asked`).
 """
 
 from __future__ import annotations
@@ -26,13 +29,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrylight.functions.analysis import RUSSIAN_STOP, exact_terms, lemma, number_terms
 from quarrylight.functions.repair import document_number, looks_like_number
 from quarrylight.functions.text import text_or_empty
 
+from .checkpoints import checkpoint
+
 #: Weights and length normalisation (b of BM25) of the fields that a query searches.
 FIELDS = {"title": (4.0, 0.75), "attachment_title": (3.0, 0.75), "text": (1.0, 0.4), "section": (0.5, 0.75), "document_kind": (2.0, 0.75)}
 FUZZY_FIELDS = ("title", "attachment_title", "text")
@@ -85,12 +92,19 @@ def needed(n: int, most_all: int = 3, share: float = 0.75) -> int:
 
 @dataclass
 class Index:
-    """chunks: chunk_id, url, the fields and filters; postings: kind, field, term, chunk_id, tf, len, positions; stats: kind, field, n, mean."""
+    """chunks: chunk_id, url, the fields and filters; postings: kind, field, term, chunk_id, tf, len, positions; stats: kind, field, n, mean.
+
+    tokens: chunk_id and each field's exact terms, where postings are yet to be made of them.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     stats: DataFrame
     fields: list[str] = field(default_factory=list)
+    tokens: DataFrame | None = None
+
+
+_COLUMNS = ["kind", "field", "term", "chunk_id", "tf", "len", "positions"]
 
 
 def _grouped(ids: pa.Array, rows: np.ndarray, places: np.ndarray, codes: np.ndarray, words: pa.Array, sizes: np.ndarray, kind: str, name: str) -> pa.RecordBatch:
@@ -102,7 +116,7 @@ def _grouped(ids: pa.Array, rows: np.ndarray, places: np.ndarray, codes: np.ndar
     constant = lambda v: pa.array([v] * len(first), pa.string())
     positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(places[order].astype(np.int32)))
     columns = [constant(kind), constant(name), words.take(pa.array(c[first])).cast(pa.string()), ids.take(pa.array(r[first])), pa.array(np.diff(ends).astype(np.int64)), pa.array(sizes[r[first]].astype(np.int64)), positions]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "field", "term", "chunk_id", "tf", "len", "positions"])
+    return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
 
 def _postings(fields: list[str]):
@@ -135,7 +149,67 @@ def build_index(chunks: DataFrame) -> Index:
     key = chunks.schema["chunk_id"].dataType.simpleString()
     tokens = chunks.select("chunk_id", *[exact_terms(F.col(f)).alias(f) for f in fields])
     postings = tokens.mapInArrow(_postings(fields), f"kind string, field string, term string, chunk_id {key}, tf long, len long, positions array<int>")
-    return Index(chunks, postings, _stats(chunks, fields), fields)
+    return Index(chunks, postings, _stats(chunks, fields), fields, tokens)
+
+
+def _asked(fields: list[str], wanted: dict[str, list[str]], starts: dict[str, set[str]]):
+    """Like `_postings`, of some terms alone; rows without a term tell how many chunks were read (tf), their terms (len) and how many chunks have any (positions)."""
+    firsts = {kind: starts.get(kind, set()) | {t[:1] for t in wanted.get(kind, ())} for kind in ("exact", "lemma")}
+    stop = pa.array(sorted(RUSSIAN_STOP), pa.string())
+
+    def words_of(distinct: pa.Array, kind: str) -> pa.Array:
+        """The distinct terms as the analyzer has them, null where not asked for; a lemma begins like its term, so only such terms are stemmed."""
+        first = pc.utf8_slice_codeunits(distinct, 0, 1)
+        near = pa.array([f for f in first.unique().to_pylist() if f in firsts[kind] or f.lower()[:1] in firsts[kind]], pa.string())
+        words = pc.if_else(pc.is_in(first, near), distinct, pa.scalar(None, pa.string()))
+        if kind == "lemma":
+            words = pa.array([None if w is None else lemma(w) for w in words.to_pylist()], pa.string())
+        asked = pc.is_in(words, pa.array(wanted.get(kind, ()), pa.string()))
+        if starts.get(kind):
+            asked = pc.or_(asked, pc.is_in(pc.utf8_slice_codeunits(words, 0, 1), pa.array(sorted(starts[kind]), pa.string())))
+        return pc.if_else(asked, words, pa.scalar(None, pa.string()))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                ids = part.column(0)
+                for k, name in enumerate(fields, 1):
+                    lists = part.column(k)
+                    sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                    coded = lists.flatten().cast(pa.string()).dictionary_encode()
+                    rows = np.repeat(np.arange(len(sizes)), sizes)
+                    places = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    codes = coded.indices.to_numpy()
+                    stopped = pc.is_in(coded.dictionary, stop).to_numpy(zero_copy_only=False)[codes]
+                    for kind in wanted | starts:
+                        own = sizes if kind == "exact" else np.bincount(rows[~stopped], minlength=len(sizes)).astype(np.int64)
+                        words = words_of(coded.dictionary, kind).dictionary_encode()
+                        new = words.indices.fill_null(-1).to_numpy()[codes]
+                        kept = new >= 0
+                        yield _grouped(ids, rows[kept], places[kept], new[kept], words.dictionary, own, kind, name)
+                        told = [[kind], [name], [None], [None], [len(own)], [int(own.sum())], [[int((own > 0).sum())]]]
+                        types = [pa.string(), pa.string(), pa.string(), ids.type, pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(told, types)], _COLUMNS)
+
+    return run
+
+
+def asked(index: Index, wanted: dict[str, Iterable[str]], fields: Iterable[str] | None = None, starts: dict[str, set[str]] | None = None) -> Index:
+    """The index for a query that asks for some terms of each kind, or for all that begin with some letters.
+
+    A published index stays as it is, its scans are pruned.  Else the postings
+    of those terms are made once, with the statistics, and written to the shared
+    folder: clauses read them there.
+    """
+    if index.tokens is None:
+        return index
+    use = [f for f in index.fields if fields is None or f in fields]
+    terms = {kind: sorted(set(ts)) for kind, ts in wanted.items()}
+    made = checkpoint(index.tokens.select("chunk_id", *use).mapInArrow(_asked(use, terms, starts or {}), index.postings.schema))
+    told = made.where("term IS NULL").groupBy("kind", "field").agg(F.sum("tf").alias("n"), F.sum("len").alias("all"), F.sum(F.get("positions", F.lit(0)).cast("long")).alias("some"))
+    stats = told.select("kind", "field", "n", (F.col("all").cast("double") / F.nullif("some", F.lit(0))).alias("mean"))
+    return Index(index.chunks, made.where("term IS NOT NULL"), stats, index.fields)
 
 
 def _stats(chunks: DataFrame, fields: list[str]) -> DataFrame:
@@ -160,6 +234,7 @@ def _saturated(tf: Column, b: Column | float) -> Column:
 def term_scores(index: Index, terms: list[str], fields: tuple[str, ...] | None = None, kind: str = "exact") -> DataFrame:
     """chunk_id, term, score: the best field's BM25 for each term, with the terms' largest document frequency."""
     use = [f for f in index.fields if fields is None or f in fields]
+    index = asked(index, {kind: terms}, use)
     hits = index.postings.where((F.col("kind") == kind) & F.col("term").isin(*terms) & F.col("field").isin(*use))
     df = hits.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")).groupBy("term").agg(F.max("df").alias("df"))
     boost = F.coalesce(*[F.when(F.col("field") == f, F.lit(w)) for f, (w, _) in FIELDS.items()])
@@ -176,6 +251,34 @@ def match_terms(index: Index, text: str, fields: tuple[str, ...] | None = None,
     return found.where(F.col("n") >= least).select("chunk_id", "score")
 
 
+def _stretches(places: list[tuple[int, int]], slop: int):
+    """Rows of chunk_id, len and a column of sorted positions for each term to chunk_id, len, tf: what the phrase counts in the chunk.
+
+    All rows of a batch stand on one line, each 2^32 places long, so the next
+    place of a term is one search for the whole batch.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, lines = np.arange(1, batch.num_rows + 1) << 32, []
+            for k, shift in places:
+                lists = batch.column(2 + k)
+                sizes = np.diff(lists.offsets.to_numpy())
+                lines.append(np.repeat(np.arange(batch.num_rows), sizes).astype(np.int64) * (1 << 32) + lists.flatten().to_numpy().astype(np.int64) + (1 << 31) - shift)
+            starts = np.unique(np.concatenate(lines))
+            rows = starts >> 32
+            last = starts
+            for line in lines:
+                nexts = np.r_[line, np.int64(2**62)][np.searchsorted(line, starts)]
+                last = np.maximum(last, np.where(nexts < ends[rows], nexts, np.int64(2**62)))
+            wide = last - starts
+            kept = wide <= slop
+            tf = np.bincount(rows[kept], 1.0 / (1.0 + wide[kept]), batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tf.astype(float))], ["chunk_id", "len", "tf"])
+
+    return run
+
+
 def phrase_scores(index: Index, phrase: str, name: str, kind: str = "exact", slop: int = 0) -> DataFrame | None:
     """chunk_id, score of chunks whose field has the phrase; None for a phrase without terms.
 
@@ -187,25 +290,14 @@ def phrase_scores(index: Index, phrase: str, name: str, kind: str = "exact", slo
     if not places or name not in index.fields:
         return None
     terms = list(dict.fromkeys(t for t, _ in places))
+    index = asked(index, {kind: terms}, (name,))
     hits = index.postings.where((F.col("kind") == kind) & (F.col("field") == name) & F.col("term").isin(*terms))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = index.stats.where((F.col("kind") == kind) & (F.col("field") == name)).select("n", "mean")
     idf = df.crossJoin(F.broadcast(stats)).agg(F.sum(_idf(F.col("df"))).alias("idf"), F.first("n").alias("n"), F.first("mean").alias("mean"))
     whole = hits.groupBy("chunk_id").agg(F.first("len").alias("len"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at")).where(F.size("at") == len(terms))
-    less = lambda xs, k: F.transform(xs, lambda x: x - k)
-    moved = F.array(*[less(F.element_at("at", t), k) for t, k in places])
-
-    def wide(v: Column) -> Column:
-        """How far the stretch from v on must go to have all terms; null if it can't."""
-        nexts = F.transform("moved", lambda xs: F.array_min(F.filter(xs, lambda x: x >= v)))
-        return F.when(F.forall(nexts, lambda x: x.isNotNull()), F.array_max(nexts) - v)
-
-    if slop:
-        widths = F.filter(F.transform(F.array_distinct(F.flatten("moved")), wide), lambda w: w <= slop)
-        freq = F.aggregate(widths, F.lit(0.0), lambda s, w: s + 1.0 / (1.0 + w))
-    else:
-        freq = F.size(reduce(F.array_intersect, [F.get("moved", F.lit(k)) for k in range(len(places))]))
-    found = whole.select("chunk_id", "len", moved.alias("moved")).select("chunk_id", "len", freq.cast("double").alias("tf")).where("tf > 0")
+    moved = whole.select("chunk_id", "len", *[F.element_at("at", t).alias(f"p{k}") for k, t in enumerate(terms)])
+    found = moved.mapInArrow(_stretches([(terms.index(t), k) for t, k in places], slop), T.StructType([*moved.schema.fields[:2], T.StructField("tf", T.DoubleType())])).where("tf > 0")
     return found.crossJoin(F.broadcast(idf)).select("chunk_id", (F.col("idf") * _saturated(F.col("tf"), FIELDS[name][1])).alias("score"))
 
 
@@ -216,6 +308,7 @@ def _sum(parts: list[DataFrame]) -> DataFrame:
 
 def quoted(index: Index, phrase: str) -> DataFrame | None:
     """chunk_id, score of chunks that have a quoted phrase in one of its fields; None for a phrase without terms."""
+    index = asked(index, {kind: terms_of(phrase, kind) for kind in ("exact", "lemma")}, [name for _, name in QUOTED])
     parts = [p for kind, name in QUOTED if (p := phrase_scores(index, phrase, name, kind)) is not None]
     return _sum(parts) if parts else None
 
@@ -267,19 +360,21 @@ def filters(chunks: DataFrame, *, number: str | None = None, kind: str | None =
     return chunks if attachment is None else chunks.where(F.col("is_attachment") == attachment)
 
 
-def _scored(chunks: DataFrame, must: list[DataFrame], should: list[DataFrame]) -> DataFrame:
-    """The chunks that are in all of `must`, with the sum of all scores."""
-    out = chunks.withColumn("score", F.lit(0.0))
-    for part, how in [*((m, "inner") for m in must), *((s, "left") for s in should)]:
+def _scored(must: list[DataFrame], should: list[DataFrame]) -> DataFrame:
+    """chunk_id, score of the chunks that are in all of `must`: the sum of all scores."""
+    out = must[0]
+    for part, how in [*((m, "inner") for m in must[1:]), *((s, "left") for s in should)]:
         out = out.join(part.withColumnRenamed("score", "_more"), "chunk_id", how).withColumn("score", F.col("score") + F.coalesce("_more", F.lit(0.0))).drop("_more")
     return out
 
 
-def run_query(index: Index, raw: str, **how) -> DataFrame:
-    """The matching chunks with their scores; an empty query matches all."""
+def run_query(index: Index, raw: str, keep: bool = False, **how) -> DataFrame:
+    """The matching chunks with their scores; an empty query matches all.  keep: scores are settled now, for a result that is read more than once."""
     q, chunks = parse(raw), filters(index.chunks, **how)
     if not (q.text or q.phrases or q.excluded):
         return chunks.withColumn("score", F.lit(0.0))
+    said = (*q.phrases, *q.excluded, *([q.text] if q.text else []))
+    index = asked(index, {kind: [t for s in said for t in terms_of(s, kind)] for kind in ("exact", "lemma")})
     must = [p for phrase in q.phrases if (p := quoted(index, phrase)) is not None]
     if len(must) < len(q.phrases):  # a phrase of marks alone stands nowhere
         return chunks.where("false").withColumn("score", F.lit(0.0))
@@ -295,10 +390,16 @@ def run_query(index: Index, raw: str, **how) -> DataFrame:
                 weight = ALL_IN_TITLE / FIELDS["title"][0]  # the clause's weight stands for the field's
                 parts.append(match_terms(index, q.text, ("title",), len(terms_of(q.text, "lemma"))).withColumn("score", weight * F.col("score")))
             should += [_sum(parts)] if parts else []
-    for word in q.excluded:
-        if terms_of(word, "lemma"):
-            chunks = chunks.join(match_terms(index, word, FUZZY_FIELDS, len(terms_of(word, "lemma"))).select("chunk_id"), "chunk_id", "left_anti")
-    return add_number_scores(_scored(chunks, must, should), raw)
+    out = [match_terms(index, word, FUZZY_FIELDS, len(terms_of(word, "lemma"))).select("chunk_id") for word in q.excluded if terms_of(word, "lemma")]
+    found = _scored(must, should) if must else None
+    for chunk_ids in out:
+        if found is None:
+            chunks = chunks.join(chunk_ids, "chunk_id", "left_anti")
+        else:
+            found = found.join(chunk_ids, "chunk_id", "left_anti")
+    if found is None:
+        return add_number_scores(chunks.withColumn("score", F.lit(0.0)), raw)
+    return add_number_scores(chunks.join(checkpoint(found) if keep else found, "chunk_id"), raw)
 
 
 def near_words(postings: DataFrame, term: str, most: int = 24) -> DataFrame:
@@ -314,6 +415,7 @@ def near_words(postings: DataFrame, term: str, most: int = 24) -> DataFrame:
 def fuzzy_query(index: Index, raw: str, most: int = 24, **how) -> DataFrame:
     """Chunks with words near to 65 % of the query's lemmas; quotes and minus signs are plain text here."""
     terms, hits = terms_of(raw, "lemma"), None
+    index = asked(index, {}, FUZZY_FIELDS, {"lemma": {t[:1] for t in terms}}) if terms else index
     postings = index.postings.where((F.col("kind") == "lemma") & F.col("field").isin(*FUZZY_FIELDS))
     for t in terms:
         near = near_words(postings, t, most).select("term", F.lit(t).alias("asked"), (1.0 / (1 + F.col("edits"))).alias("weight"))
@@ -357,12 +459,24 @@ class Result:
 def search(index: Index, raw: str = "", *, category: str | None = None, sort: str = "relevance", limit: int = 10, offset: int = 0, categories: tuple[str, ...] = CATEGORIES, **how) -> Result:
     """The whole search; a query that finds nothing on the first page is tried again with near words."""
     check_options(raw, sort=sort, limit=limit, offset=offset, category=category, categories=categories, **how)
-    hits, mode = run_query(index, raw, **how), "exact"
+    hits, mode = run_query(index, raw, keep=True, **how), "exact"
     if offset == 0 and terms_of(raw, "lemma") and hits.isEmpty():
         hits, mode = fuzzy_query(index, raw, **how), "fuzzy"
     shown = hits.where(F.col("content_category") == category.strip().lower()) if category else hits
     total = shown.agg(F.countDistinct("url").alias("total"), F.least(F.count(F.lit(1)), F.lit(10_000)).alias("hits"))
-    return Result(page(collapse(shown), sort, limit, offset, bool(raw.strip())), facets(hits, category, categories), total, mode)
+    return Result(_whole(index, page(collapse(_keys(shown)), sort, limit, offset, bool(raw.strip())), shown, sort, limit, bool(raw.strip())), facets(hits, category, categories), total, mode)
+
+
+def _keys(hits: DataFrame) -> DataFrame:
+    """What a page is picked and ordered by."""
+    return hits.select(*[c for c in ("chunk_id", "chunk_number", "url", "sort_date", "score") if c in hits.columns])
+
+
+def _whole(index: Index, top: DataFrame, shown: DataFrame, sort: str, limit: int, has_query: bool) -> DataFrame:
+    """The rows of a page, with all that the chunks know: only they carry texts."""
+    mine = top.select(F.col("chunk_id").alias("_id"), F.col("url").alias("_url"), "score")
+    rows = index.chunks.join(F.broadcast(mine), (F.col("chunk_id") == F.col("_id")) & F.col("url").eqNullSafe(F.col("_url"))).select(*shown.columns)
+    return page(collapse(rows), sort, limit, 0, has_query)
 
 
 def check_options(raw: str, *, sort: str = "relevance", limit: int = 10, offset: int = 0, category: str | None = None, date_from: str | None = None, date_to: str | None = None, categories: tuple[str, ...] = CATEGORIES, **rest) -> None:

@@ -124,3 +124,18 @@ def test_number_clauses_rank(spark):
         assert more["n1"] == more["n2"] == 0 and more["n3"] == 40 + 32 + 24 and more["n4"] >= 40
     same = lambda i: {r.chunk_id: r.score for r in S.run_query(i, "парке").collect()}
     assert same(numbered) == same(plain)
+
+
+def test_an_index_that_is_not_published_makes_the_asked_postings_alone(spark):
+    """Of both analyzers, with the statistics of all terms, and what they score is what the whole index scores."""
+    rows = [("1", "u/1", "Running ships", "the ship runs and the ships run"), ("2", "u/2", "", "ёлка и ship yards"), ("3", "u/3", None, None)]
+    whole = S.build_index(spark.createDataFrame(rows, "chunk_id string, url string, title string, text string"))
+    some = S.asked(whole, {"exact": ["ship"], "lemma": ["run", "ship"]})
+    keys = lambda df: sorted((r.kind, r.field, r.term, r.chunk_id, r.tf, r.len, tuple(r.positions)) for r in df.collect())
+    want = [p for p in keys(whole.postings) if p[2] == "ship" or p[:1] + p[2:3] == ("lemma", "run")]
+    assert keys(some.postings) == want and len(want) == 8
+    assert sorted(map(tuple, some.stats.collect())) == sorted(map(tuple, whole.stats.collect()))
+    begun = S.asked(whole, {}, ("text",), {"lemma": {"e"}}).postings.collect() + S.asked(whole, {}, ("text",), {"lemma": {"е"}}).postings.collect()
+    assert [(r.term, r.chunk_id) for r in begun] == [("елк", "2")]
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert scans(S.term_scores(whole, ["ship"])) == 0 and scans(S.phrase_scores(whole, "the ship", "text")) == 1
