@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import mapped
 from .text import text_or_empty
 
 # Look-alike letters, dashes, spaces, and the look-alikes of act numbers.
@@ -77,9 +78,9 @@ def repaired(text: str) -> str:
 _BLANKS = str.maketrans(SPACES, " " * len(SPACES))
 
 
-@F.pandas_udf(T.StringType())
-def _repaired(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: repaired(v) if isinstance(v, str) else "")
+@F.arrow_udf(T.StringType())
+def _repaired(values: pa.Array) -> pa.Array:
+    return mapped(values, lambda v: "" if v is None else repaired(v))
 
 
 def repair(c: Column) -> Column:

@@ -230,3 +230,21 @@ def test_sitemap_walk():
     pages, errors = discovery.sitemap_pages(["a"], site.__getitem__)
     assert pages == {"p": None, "q": None} and len(errors) == 1
     assert len(discovery.sitemap_pages(["a"], site.__getitem__, most_pages=1)[0]) == 1
+
+
+def test_texts_pass_python_in_parts_of_bounded_size(spark):
+    """A worker holds a part of a batch as strings, not the batch; a text above the bound is a part of its own, and no row is lost."""
+    import pyarrow as pa
+
+    from quarrylight.functions import batches
+
+    texts = pa.array(["a" * 600, None, "я" * 300, "b" * 5000, "", "c"])
+    assert list(batches.bounds(texts, 1200)) == [(0, 3), (3, 1), (4, 2)] and list(batches.bounds(texts.slice(3), 1200)) == [(0, 1), (1, 2)]
+    assert batches.mapped(texts, lambda v: v and v[:1], 1200).to_pylist() == ["a", None, "я", "b", "", "c"] and len(batches.mapped(texts[:0], str)) == 0
+    big = spark.range(40).selectExpr("id", "CASE WHEN id % 7 <> 3 THEN repeat(concat('Cочи. ', id, ' '), 30000) END AS text").coalesce(1)
+    shown = present.snippets(big, "Cочи")
+    sizes = shown.mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"]) for b in bs), "n long, bytes long").collect()
+    assert sum(r.n for r in sizes) == 40
+    assert [r.id for r in shown.select("id").collect()] == list(range(40)) and shown.where("id = 3").first().snippet == ""
+    got = {r.id: r.v for r in big.select("id", repair.repair(F.col("text")).alias("v")).collect()}
+    assert got[3] == "" and got[5] == "Сочи. 5 " * 29999 + "Сочи. 5 "
