@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrylight.functions.batches import parts
 from quarrylight.functions.text import normalize_lines, text_or_empty
 
 SIZE, OVERLAP, TAIL, LEAST = 3500, 350, 700, 500
@@ -37,8 +38,8 @@ def chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFr
         raise ValueError("the overlap is below the size")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([cut(t, size, overlap) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], ["url", "page_number", "pieces"])
+        for part in (p for batch in batches for p in parts(batch, 2)):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([cut(t, size, overlap) for t in part.column(2).to_pylist()], pa.list_(pa.string()))], ["url", "page_number", "pieces"])
 
     clean = pages.select("url", F.col("page_number").cast("int"), normalize_lines(F.col("text")).alias("text"))
     pieces = clean.mapInArrow(run, "url string, page_number int, pieces array<string>").select("url", "page_number", F.posexplode("pieces").alias("place", "text"))
