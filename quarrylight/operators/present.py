@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrylight.functions.analysis import lemma
+from quarrylight.functions.batches import parts
 from quarrylight.functions.readability import readability
 from quarrylight.functions.text import QUESTION_WORDS, compact, csv_guard, is_generic_title, title_from_text, truncate
 from quarrylight.functions.titles import clean_site_text, result_snippet
@@ -49,9 +50,9 @@ def snippets(items: DataFrame, query: str, limit: int = 520) -> DataFrame:
     """items with a snippet of `text` for the query; a row at a time inside Arrow batches, after the page was cut."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([snippet_of(t or "", query, limit) for t in texts], pa.string())], [*batch.schema.names, "snippet"])
+        for part in (p for batch in batches for p in parts(batch, batch.schema.get_field_index("text"))):
+            texts = part.column(part.schema.get_field_index("text")).to_pylist()
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([snippet_of(t or "", query, limit) for t in texts], pa.string())], [*part.schema.names, "snippet"])
 
     return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("snippet", T.StringType())]))
 
